@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +41,7 @@ def save(df: DataFrame, tag: str) -> DataFrame:
 def drop_saved(df: DataFrame) -> None:
     """Deletes the files of a table from save() that nothing reads any more."""
     spark = df.sparkSession
-    for parent in {str(Path(f.replace("://", ":/")).parent).replace(":/", "://", 1) for f in df.inputFiles()}:
+    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

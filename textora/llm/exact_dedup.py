@@ -50,6 +50,7 @@ def advance(spark: SparkSession, path: str, checkpoint: str, id_col: str = "doc_
     for k, v in {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # each instance would reserve megabytes of disk for its logs
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(ROCKSDB_MB),
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
