@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textora.llm import exact_dedup, secret_scan, url_filter
-from textora.llm._common import read
+from textora.llm import decontaminate, exact_dedup, mixing, quality, secret_scan, url_filter, warc
+from textora.llm._common import new_path, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,15 @@ URL_RULES = [
 ]
 
 
+def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), mixing.cycling_weights((1.0, 2.0, 3.0)), limit=3.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "n_shingles", "n_found", "containment").distinct()
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -30,6 +39,18 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), F.sha2(base, 256).alias("base_sha256"), secret_scan.spans_text(F.col("secret_spans")).alias("spans"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = new_path(spark, "warc")
+    warc.write_warc(read(spark, sf_dir, "pages"), uri, least=0)
+    return warc.read_warc(spark, uri, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(read(spark, sf_dir, "pages"), URL_RULES).drop("component")
 
@@ -37,7 +58,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    named = (op3_exact_dedup, op7_secret_scan, op10_url_filter)
+    named = (op1_entropy_mix, op2_decontaminate, op3_exact_dedup, op7_secret_scan, op8_quality, op9_warc, op10_url_filter)
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
@@ -77,7 +98,22 @@ def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    plain = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
     sql = {
+        "op2_decontaminate": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {plain} AS w FROM documents), i AS (SELECT item_id, {plain} AS w FROM benchmark),
+ds AS (SELECT DISTINCT r, doc_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) AS s FROM d),
+its AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) AS s FROM i),
+n AS (SELECT item_id, count(*) AS n_shingles FROM its GROUP BY item_id),
+hit AS (SELECT r, doc_id, item_id, count(*) AS n_found FROM ds JOIN its USING (s) GROUP BY ALL)
+SELECT DISTINCT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM hit JOIN n USING (item_id) WHERE n_found * 5 >= n_shingles * 4""",
+        "op9_warc": r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+g AS (SELECT *, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((((strpos('0123456789abcdef', substr(h, 5 * i // 4 + 1, 1)) - 1) * 16
+    + strpos('0123456789abcdef', substr(h, 5 * i // 4 + 2, 1)) - 1) >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to, url FROM g""",
         "op3_exact_dedup": f"""
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (g ORDER BY doc_id) = 1 AS kept, sha256({_NORMAL}) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY {_NORMAL})""",
