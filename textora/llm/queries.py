@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textora.llm import decontaminate, exact_dedup, mixing, quality, secret_scan, url_filter, warc
+from textora.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, secret_scan, url_filter, warc
 from textora.llm._common import new_path, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+    left = line_dedup.dedup_lines(docs, lost="n_removed")
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = tuple(r.kind for r in secret_scan.BASE_RULES)
@@ -58,7 +64,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    named = (op1_entropy_mix, op2_decontaminate, op3_exact_dedup, op7_secret_scan, op8_quality, op9_warc, op10_url_filter)
+    named = (op1_entropy_mix, op2_decontaminate, op3_exact_dedup, op4_line_dedup, op7_secret_scan, op8_quality, op9_warc, op10_url_filter)
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
