@@ -124,7 +124,7 @@ def mix(docs: DataFrame, weights, limit: float = LIMIT, id_col: str = "doc_id",
     copies = copies.select("key", "size", "rate", "target", "source_size", whole.alias("whole"), (F.col("copies") - whole * F.col("n")).alias("extra"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("key", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     dealt = counts.withColumn("before", before).join(copies, ["key", "size"]).select("key", "size", "cell", "rate", "target", "source_size", "whole", F.greatest(F.lit(0), F.col("extra") - F.col("before")).alias("extra"))
-    dealt = small(save(dealt, "mix-dealt"))
+    dealt = save(dealt, "mix-dealt")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key", "size", "cell").orderBy("h", "doc_id")))
     out = ranked.join(dealt, ["key", "size", "cell"]).withColumn("copies", (F.col("whole") + (F.col("rank") <= F.col("extra")).cast("long")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textora.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, secret_scan, substring_dedup, url_filter, warc
+from textora.llm import decontaminate, exact_dedup, line_dedup, mixing, ngram_join, quality, secret_scan, substring_dedup, url_filter, warc
 from textora.llm._common import new_path, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_classes(read(spark, sf_dir, "documents"), n=4, threshold=(17, 20)).drop("text_key")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(read(spark, sf_dir, "documents")).drop("kept")
 
@@ -68,7 +72,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    named = (op1_entropy_mix, op2_decontaminate, op3_exact_dedup, op4_line_dedup, op6_substring_dedup, op7_secret_scan, op8_quality, op9_warc, op10_url_filter)
+    named = (op1_entropy_mix, op2_decontaminate, op3_exact_dedup, op4_line_dedup, op5_ngram_join, op6_substring_dedup, op7_secret_scan, op8_quality, op9_warc, op10_url_filter)
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
