@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from textora import fixed
 
@@ -154,7 +155,7 @@ def smuggled(text: Column) -> Column:
     return F.concat(tag, zero, bidi)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def reading_similarity(a, b):
     """How closely two readings agree word by word, in order: 2 * matched / all, of their first 6000 words each."""
     import difflib
@@ -170,7 +171,7 @@ def reading_similarity(a, b):
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text):
     import unicodedata
 

@@ -83,7 +83,7 @@ def cheapest(costs: DataFrame, key: str = "doc_id") -> DataFrame:
     """path kind (text, vision), documents that have it, and the sum of each document's cheapest model."""
     kind = F.when(F.col("path") == "text", "text").otherwise("vision")
     least = costs.groupBy(key, kind.alias("kind")).agg(F.min("usd").alias("usd"))
-    return least.groupBy("kind").agg(F.count("usd").alias("documents"), F.round(F.sum(F.col("usd").cast("decimal(28,10)")).cast("double"), 6).alias("usd"))
+    return least.groupBy("kind").agg(F.count("usd").alias("documents"), F.round(F.sum(F.col("usd").cast("decimal(28,10)")), 6).cast("double").alias("usd"))
 
 
 def architectures(costs: DataFrame, sources: DataFrame, key: str = "doc_id", volume: int = 1000) -> DataFrame:
@@ -96,7 +96,7 @@ def architectures(costs: DataFrame, sources: DataFrame, key: str = "doc_id", vol
     kinds = F.array_compact(F.array(F.when(text & F.col("native"), F.lit("text_layer")), F.when(text, F.lit("text_ocr")), F.when(high, F.lit("vision"))))
     each = rows.where(F.col("usd").isNotNull()).select(key, "model", "usd", F.explode(kinds).alias("architecture"))
     mean = F.avg(F.col("usd").cast("decimal(28,10)")).cast("double")
-    return each.groupBy("model", "architecture").agg(F.count("*").alias("served"), F.round(F.sum(F.col("usd").cast("decimal(28,10)")).cast("double"), 6).alias("usd"), F.round(mean * 1000, 6).alias("usd_per_1000"), F.round(mean * volume * 12, 4).alias("usd_a_year"))
+    return each.groupBy("model", "architecture").agg(F.count("*").alias("served"), F.round(F.sum(F.col("usd").cast("decimal(28,10)")), 6).cast("double").alias("usd"), F.round(mean * 1000, 6).alias("usd_per_1000"), F.round(mean * volume * 12, 4).alias("usd_a_year"))
 
 
 def routes(pages: DataFrame, vision: bool = True) -> DataFrame:

@@ -62,7 +62,10 @@ class _Patterns:
         return next((t for t, p in terms if p.search(around)), None)
 
     def scan(self, page: str) -> Iterator[tuple]:
-        for category, plain, context, terms in self.all:
+        lowered = page.lower()
+        for category, plain, context, listed in self.all:
+            terms = [t for t in listed if t[0].lower().strip() in lowered]  # the others can't be near anything
+            context = context if terms else []
             for p in plain:
                 for m in p.finditer(page):
                     named = m.groupdict()
