@@ -4,9 +4,9 @@ Each window of `window` words has a minimiser, the least hash of its runs of `ru
 minimiser make a super-k-mer. Equal windows have equal minimisers, so
 1. one pass over the texts finds super-k-mers (as positions) and their minimisers; a minimiser seen once in the whole
    corpus has no repeated window, and most super-k-mers end here, before any text has travelled;
-2. of the others the words travel as one packed string to the bucket of their minimiser, equal strings being counted
-   together on the way; a minimiser with more than HOT super-k-mers sends its windows one by one instead, to buckets of
-   their own hashes, so no bucket grows with a frequent passage;
+2. of the others the words travel as one packed string to the bucket of their minimiser; a minimiser with more than HOT
+   super-k-mers sends its windows one by one instead, which are grouped by their words and counted together on the way,
+   so no bucket grows with a frequent passage;
 3. in its bucket every window of the packed strings is sorted, and equal neighbours are counted by their exact words;
 4. what is repeated goes back to the texts as positions, and the words it covers are left out.
 Texts that are equal byte for byte are worked on once, with their number as weight.
@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textora.llm._common import drop_saved, save, small
+from textora.llm._common import drop_saved, save
 from textora.llm.wordhash import Words, words
 
 WINDOW = 35
 RUN = 8
 #: Super-k-mers of one minimiser beyond which its windows travel one by one.
 HOT = 4096
-#: Rows with position lists (a few hundred bytes each) that are broadcast at most.
-LISTED_ROWS = 100_000
+#: Listed super-k-mers (16 bytes each in a broadcast, so 128 MB) up to which the lists are broadcast; beyond it texts are shuffled to them.
+LISTED = 8_000_000
 
 
 def _sha(data: bytes) -> str:
@@ -92,20 +92,18 @@ def _survey(window: int, run: int):
 
 
 def _pack(window: int):
-    """Packed strings of the listed super-k-mers: (bucket, packed, text_id, start); of hot ones each window by itself."""
+    """Packed strings of the listed super-k-mers; of hot ones (their sizes are negative) each window by itself, without a bucket."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = defaultdict(list)
-            for text, text_id, weight, found in zip(*(b.column(c).to_pylist() for c in ("text", "text_id", "weight", "found")), strict=True):
+            for text, text_id, weight, mins, starts, sizes in zip(*(b.column(c).to_pylist() for c in ("text", "text_id", "weight", "mins", "starts", "sizes")), strict=True):
                 split = (text or "").encode().split()
-                for f in found:
-                    lo, n = f["start"], f["size"]
-                    parts = [(lo, n)] if not f["hot"] else [(lo + i, 1) for i in range(n)]
+                for least, lo, n in zip(mins, starts, sizes, strict=True):
+                    parts = [(lo, n)] if n > 0 else [(lo + i, 1) for i in range(-n)]
                     for start, many in parts:
-                        packed = b" ".join(split[start : start + many + window - 1])
-                        out["packed"].append(packed)
-                        out["bucket"].append(f["min"] if not f["hot"] else int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "big", signed=True))
+                        out["packed"].append(b" ".join(split[start : start + many + window - 1]))
+                        out["bucket"].append(least if n > 0 else None)
                         out["text_id"].append(text_id)
                         out["start"].append(start)
                         out["weight"].append(weight)
@@ -149,12 +147,12 @@ def _count(window: int):
             yield strings[s], sorted(at)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, strings, weights = None, [], []
+        bucket, held = None, defaultdict(int)
         out_key, out_at = [], []
 
         def close() -> None:
-            if len(strings) > 1 or (weights and (weights[0] > 1 or strings[0].count(b" ") >= window)):
-                for packed, at in repeated(strings, weights):
+            if len(held) > 1 or any(weight > 1 or packed.count(b" ") >= window for packed, weight in held.items()):
+                for packed, at in repeated(list(held), list(held.values())):
                     out_key.append(hashlib.md5(packed).digest())
                     out_at.append(at)
 
@@ -163,9 +161,8 @@ def _count(window: int):
             for k, packed, weight in zip(*(b.column(c).to_pylist() for c in ("bucket", "packed", "weight")), strict=True):
                 if k != bucket:
                     close()
-                    bucket, strings, weights = k, [], []
-                strings.append(packed)
-                weights.append(weight)
+                    bucket, held = k, defaultdict(int)
+                held[packed] += weight
             if len(out_key) >= 5_000:
                 yield flush()
                 out_key, out_at = [], []
@@ -205,26 +202,35 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, id_c
     given = docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), F.col(text_col).alias("text"))
     kind = dict(given.dtypes)["doc_id"]
     survey = save(given.mapInArrow(_survey(window, run), f"doc_id {kind}, digest binary, n_words long, whole_sha256 string, mins array<long>, starts array<int>, sizes array<int>"), "windows")
-    texts = survey.groupBy("digest").agg(F.count("*").alias("weight"), F.any_value("n_words").alias("n_words"), F.any_value(F.struct("mins", "starts", "sizes")).alias("s"))
-    texts = save(texts.where(F.col("n_words") >= window).withColumn("text_id", F.monotonically_increasing_id()), "window-texts")
+    lists = F.any_value(F.struct("mins", "starts", "sizes")).alias("s")
+    texts = survey.where(F.col("n_words") >= window).groupBy("digest").agg(F.count("*").alias("weight"), F.min("doc_id").alias("one"), F.any_value("n_words").alias("n_words"), lists)
+    texts = save(texts.withColumn("text_id", F.monotonically_increasing_id()), "window-texts")
+    rows = save(survey.drop("mins", "starts", "sizes"), "window-rows")
+    drop_saved(survey)
     each = texts.select("text_id", "weight", F.explode(F.arrays_zip("s.mins", "s.starts", "s.sizes")).alias("k"))
     each = each.select("text_id", "weight", F.col("k.mins").alias("min"), F.col("k.starts").alias("start"), F.col("k.sizes").alias("size"))
     seen = each.groupBy("min").agg(F.sum("weight").alias("n"), F.count("*").alias("rows")).where("n > 1").select("min", (F.col("rows") > HOT).alias("hot"))
-    shared = each.join(seen, "min").groupBy("text_id").agg(F.collect_list(F.struct("min", "start", "size", "hot")).alias("found"))
-    shared = save(shared.join(texts.select("text_id", "digest", "weight"), "text_id"), "window-shared")
-    listed = F.broadcast(shared) if shared.count() <= LISTED_ROWS else shared
-    body = docs.select(digest.alias("digest"), F.col(text_col).alias("text")).join(listed, "digest")
-    body = save(body.select("text_id", "text", "weight", "found").dropDuplicates(["text_id"]), "window-bodies")
+    seen = save(seen, "window-mins")  # read again, it joins as a table of its own and Spark can split the rows of a frequent minimiser
+    found = each.join(seen, "min").select("text_id", F.struct("min", "start", F.when(F.col("hot"), -F.col("size")).otherwise(F.col("size")).alias("size")).alias("f"))
+    shared = found.groupBy("text_id").agg(F.collect_list("f").alias("f")).select("text_id", *(F.col(f"f.{a}").alias(b) for a, b in (("min", "mins"), ("start", "starts"), ("size", "sizes"))))
+    shared = save(shared.join(texts.select("text_id", "digest", "weight", "one"), "text_id"), "window-shared")
+    many = shared.agg(F.coalesce(F.sum(F.size("mins")), F.lit(0))).first()[0]
+    listed = F.broadcast(shared) if many <= LISTED else shared
+    # of a text with copies the rows of its smallest id go on: every window of it is repeated, so how many they are does not count
+    body = given.join(listed, "digest").where((F.col("weight") == 1) | F.col("doc_id").eqNullSafe(F.col("one")))
+    body = save(body.select("text_id", "text", "weight", "mins", "starts", "sizes"), "window-bodies")
     packed = save(body.mapInArrow(_pack(window), PACKED), "packed")
-    buckets = packed.groupBy("bucket", "packed").agg(F.sum("weight").alias("weight"))
-    hits = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(window), "packed_key binary, at array<int>")
-    where = packed.where("weight = 1").select(F.unhex(F.md5("packed")).alias("packed_key"), "text_id", "start")
+    key = F.unhex(F.md5("packed")).alias("packed_key")
+    cold = packed.where("bucket is not null").select("bucket", "packed", "weight").repartition("bucket").sortWithinPartitions("bucket")
+    hot = packed.where("bucket is null").groupBy("packed").agg(F.sum("weight").alias("n")).where("n > 1").select(key, F.array(F.lit(0)).alias("at"))
+    hits = cold.mapInArrow(_count(window), "packed_key binary, at array<int>").unionByName(hot).groupBy("packed_key").agg(F.flatten(F.collect_set("at")).alias("at"))
+    where = packed.where("weight = 1").select(key, "text_id", "start")
     found = where.join(hits, "packed_key").select("text_id", F.explode(F.transform("at", lambda a: a + F.col("start"))).alias("start"))
     found = save(found.groupBy("text_id").agg(F.collect_list("start").alias("starts")), "window-found")
-    cut = save(body.select("text_id", "text").join(found, "text_id").mapInArrow(_cut(window), "text_id long, n_removed long, kept string"), "window-cut")
-    for used in (packed, body, shared):
+    cut = save(body.where("weight = 1").select("text_id", "text").join(found, "text_id").mapInArrow(_cut(window), "text_id long, n_removed long, kept string"), "window-cut")
+    for used in (packed, body, shared, seen, found):
         drop_saved(used)
-    return survey.drop("mins", "starts", "sizes"), texts.select("text_id", "digest", "weight", "n_words"), cut
+    return rows, texts.select("text_id", "digest", "weight", "n_words"), cut
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
