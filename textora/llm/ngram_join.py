@@ -7,7 +7,7 @@ Documents with one shingle set are one class from the start. Classes are split b
   n - ceil(t * n) + k of each in any common order. A first scan, in hash order and with k about a 25th of a set, keeps the
   sets of which k shingles lie in lists that hold another set at all. A second, with k = 1 for these alone, puts frequent shingles last, so that lists of edited copies part; in it
   candidates are met in rounds. Each round pairs every set with the least set of each list that is not in its component
-  yet; pairs are verified by exact Jaccard similarity and linked components merge; only then are the pairs enumerated
+  yet; pairs are tested by an upper bound of what they share, then by exact Jaccard similarity, and linked components merge; only then are the pairs enumerated
   that still lie in two components.
 Nothing is capped: every pair left out is either linked through others already or cannot reach the threshold.
 """
@@ -130,11 +130,36 @@ def _full(n: int):
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, sets in _sets(b.column("text"), n):
-                yield pa.RecordBatch.from_pydict({"set_id": b.column("set_id").slice(first, len(sets)), "n": pa.array([len(s) for s in sets], pa.int64()), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
+                yield pa.RecordBatch.from_pydict({
+                    "set_id": b.column("set_id").slice(first, len(sets)), "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "hashes": pa.array([s.tobytes() for s in sets], pa.binary()), "tally": pa.array([_counts(s) for s in sets], pa.binary()),
+                })
 
     return full
 
 
+def _counts(h: np.ndarray) -> bytes:
+    """How many of a set's hashes begin with each run of bits, two to four on average, a byte each; empty where one overflows."""
+    bits = max(0, len(h).bit_length() - 2)
+    counts = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _possible(t: tuple[int, int]):
+    """Of pairs with their tallies, those that can be linked: no more is common than the lesser count of each run of bits."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, q = t
+        for b in batches:
+            ok = []
+            for n, x, y in zip(b.column("n").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                u, v = (np.frombuffer(k, np.uint8).astype(np.int32) for k in sorted((x, y), key=len))
+                ok.append(not len(u) or int(np.minimum(u, v.reshape(len(u), -1).sum(1)).sum()) * (p + q) >= p * n)
+            yield pa.RecordBatch.from_pydict({k: b.column(k).filter(pa.array(ok, pa.bool_())) for k in ("a", "b")})
+
+    return possible
+
+
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
@@ -199,7 +224,10 @@ def _verify(t: tuple[int, int]):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The linked ones of pairs (a, b), by their whole sets."""
+    """The linked ones of pairs (a, b), by their whole sets; what their tallies rule out does not make sets travel."""
+    side = lambda k, n, x: sets.select(F.col("set_id").alias(k), F.col("n").alias(n), F.col("tally").alias(x))
+    both = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "x", "y")
+    pairs = save(both.mapInArrow(_possible(t), "a long, b long"), "ngram-possible")
     x, y = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y"))
     return save(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(t), "a long, b long"), "ngram-links")
 
@@ -224,6 +252,8 @@ def _heavy_links(postings: DataFrame, sets: DataFrame, t: tuple[int, int]) -> Da
         links = found if links is None else links.union(found)
         tested = pairs if tested is None else tested.union(pairs)
         parts = save(connected_components(links, "a", "b"), "ngram-parts")
+        if links is not found:
+            drop_saved(now)
         now = save(postings.join(small(parts.select(F.col("node").alias("set_id"), "component")), "set_id", "left").select("shingle", "set_id", "n", "place", F.coalesce("component", "set_id").alias("part")), "ngram-postings")
     # What is left: pairs in two components, met at a place from which enough shingles can still follow.
     some = now.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("shingle")
@@ -293,11 +323,16 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4,
     kept = save(met.where(F.col("met") >= extras(F.ceil(F.col("n") * p / F.lit(q) - 1e-9))).select("set_id"), "ngram-kept")
     kept = save(classes.select("set_id", "text_key").join(small(kept), "set_id"), "ngram-asked")
     texts = given.select("text_key", "text").join(small(kept), "text_key").dropDuplicates(["set_id"])
-    sets = save(texts.mapInArrow(_full(n), "set_id long, n long, hashes binary"), "ngram-sets")
+    sets = save(texts.mapInArrow(_full(n), "set_id long, n long, hashes binary, tally binary"), "ngram-sets")
     freq = docs.sparkSession.sparkContext.broadcast(_frequencies(sets))
     postings = save(sets.mapInArrow(_postings(freq, t), "shingle long, set_id long, n long, place long"), "ngram-postings")
-    several = postings.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
-    postings = save(postings.join(several, "shingle"), "ngram-postings")
+    # Lists of the same sets (of one shared passage, say) become one, named by their members, with each set's first place.
+    members = F.xxhash64(F.count("*"), F.min("set_id"), F.max("set_id"), F.bit_xor(F.xxhash64("set_id")))
+    several = postings.groupBy("shingle").agg(F.count("*").alias("k"), members.alias("members")).where("k > 1").select("shingle", "members")
+    merged = postings.join(several, "shingle").groupBy(F.col("members").alias("shingle"), "set_id", "n").agg(F.min("place").alias("place"))
+    merged = save(merged, "ngram-lists")
+    drop_saved(postings)
+    postings = merged
     links = light.union(_heavy_links(postings, sets, t))
 
     parts = save(connected_components(links, "a", "b"), "ngram-parts").select(F.col("node").alias("set_id"), "component")
