@@ -107,3 +107,24 @@ def test_odd_rows_do_not_crash(spark):
 
 def test_stages_are_five_and_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near duplicates", "benchmark", "mix"]
+
+
+def char_links(lines, threshold=0.8):
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} or {t} for t in lines]
+    return [(i, j) for i, j in combinations(range(len(lines)), 2) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])]
+
+
+def lines_kept(spark, lines):
+    """Numbers of the one-line documents that keep their line."""
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return {r.doc_id for r in line_dedup.dedup_lines(docs).collect() if r.text}
+
+
+def test_lines_of_a_large_key_equal_brute_force(spark):
+    word = lambda *k: hashlib.md5(repr(k).encode()).hexdigest()[:7].translate(str.maketrans("0123456789", "ghijklmnop"))
+    phrase = " ".join(word("phrase", i) for i in range(34))
+    filled = [f"{phrase} {' '.join(word(k, i) for i in range(6))}" for k in range(150)]
+    lines = filled + [f"{t} {word('end', k)}" for k, t in enumerate(filled)]
+    want = set(smallest(range(len(lines)), char_links(lines)).values())
+    assert len(want) == len(filled)
+    assert lines_kept(spark, lines) == want
