@@ -128,3 +128,12 @@ def test_lines_of_a_large_key_equal_brute_force(spark):
     want = set(smallest(range(len(lines)), char_links(lines)).values())
     assert len(want) == len(filled)
     assert lines_kept(spark, lines) == want
+
+
+def test_lines_without_spaces_equal_brute_force(spark):
+    long = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(8))
+    lines = ["".join(chr(0x4E00 + int(long[i : i + 3], 16)) for i in range(480)), long[:500], "\t".join(long[i : i + 9] for i in range(0, 400, 9)), "https://a.org/" + long[100:300]]
+    lines = [x for t in lines for x in (t, t[:250] + "#" + t[251:])] + ["abcdefghijklmn", "abcdefghijklmo", "aaaaaa", "aaaaaaaaaaaa", "ab", "abc", "hum hum hum hum", "hum hum hum hum hum"]
+    want = set(smallest(range(len(lines)), char_links(lines)).values())
+    assert want == {0, 2, 4, 6, 8, 10, 12, 13, 14}
+    assert lines_kept(spark, lines) == want
