@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from textora.functions import checks, text as tx
 from textora.operators import hidden, identifiers
+from textora.plans import catalog
 from textora.streaming import events as streaming
 
 
@@ -56,3 +57,15 @@ def test_streams_equal_tables(spark, sf_dir, tmp_path):
     out.awaitTermination(120)
     text = lambda df: sorted(map(str, map(tuple, df.withColumn("hour", F.col("hour").cast("string")).collect())))
     assert text(spark.table("hours")) == text(streaming.windowed(table))
+
+
+def test_readings_are_compared_whole(spark):
+    words = [f"w{i}" for i in range(7000)]
+    rows = [(" ".join(words), " ".join(words[:-1] + ["other"])), (" ".join(words), " ".join(words[:6000]))]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(tx.reading_similarity("a", "b")).collect()]
+    assert got == [round(2 * 6999 / 14000, 4), round(2 * 6000 / 13000, 4)]
+
+
+def test_questions_are_asked_whole(spark, sf_dir):
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    assert catalog._questions(read).where("query = answer").count() == read("benchmark").count()

@@ -157,13 +157,13 @@ def smuggled(text: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def reading_similarity(a, b):
-    """How closely two readings agree word by word, in order: 2 * matched / all, of their first 6000 words each."""
+    """How closely two readings agree word by word, in order: 2 * matched / all, of all their words."""
     import difflib
 
     import pandas as pd
 
     def one(x: str | None, y: str | None) -> float:
-        u, v = (x or "").split()[:6000], (y or "").split()[:6000]
+        u, v = (x or "").split(), (y or "").split()
         if u == v:
             return 1.0
         return round(difflib.SequenceMatcher(None, u, v, autojunk=False).ratio(), 4) if u and v else 0.0
