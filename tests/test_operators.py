@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from textora.functions import checks, text as tx
-from textora.operators import hidden, identifiers
+from textora.operators import chunks, compare, hidden, identifiers
 from textora.plans import catalog
 from textora.streaming import events as streaming
 
@@ -69,3 +69,10 @@ def test_readings_are_compared_whole(spark):
 def test_questions_are_asked_whole(spark, sf_dir):
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     assert catalog._questions(read).where("query = answer").count() == read("benchmark").count()
+
+
+def test_facts_are_found_inside_words(spark):
+    docs = [(1, "All invoices list net amounts."), (2, "The ﬁnal ＡＢＣ report is due"), (3, "5 % (€) - ok"), (4, None), (5, "other text")]
+    facts = [(1, "invoice"), (2, "net amount"), (3, "final ABC report"), (4, "(€)"), (5, "%"), (6, "voices list net am"), (7, "missing"), (8, " "), (9, "ok")]
+    got = chunks.fact_places(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(facts, "fact long, text string"))
+    assert {tuple(r) for r in got.collect()} == {(1, 1), (2, 1), (3, 2), (4, 3), (5, 3), (6, 1), (9, 3)}

@@ -176,3 +176,8 @@ def nfkc(text):
     import unicodedata
 
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def compatible(text: Column) -> Column:
+    """NFKC form; only texts beyond ASCII leave the JVM."""
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
