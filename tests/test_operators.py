@@ -76,3 +76,11 @@ def test_facts_are_found_inside_words(spark):
     facts = [(1, "invoice"), (2, "net amount"), (3, "final ABC report"), (4, "(€)"), (5, "%"), (6, "voices list net am"), (7, "missing"), (8, " "), (9, "ok")]
     got = chunks.fact_places(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(facts, "fact long, text string"))
     assert {tuple(r) for r in got.collect()} == {(1, 1), (2, 1), (3, 2), (4, 3), (5, 3), (6, 1), (9, 3)}
+
+
+def test_finds_claim_the_next_free_label(spark):
+    kind = "id long, category string, start int, end int"
+    expected = spark.createDataFrame([(1, "c", 0, 10), (1, "c", 11, 20), (2, "c", 0, 5), (2, "d", 0, 5)], kind)
+    found = spark.createDataFrame([(1, "c", 0, 4), (1, "c", 6, 14), (2, "c", 0, 2), (2, "c", 3, 4), (2, "e", 0, 5)], kind)
+    got = {r.category: (r.labelled, r.hit, r.missed, r.wrong) for r in compare.benchmark_scores(found, expected).collect()}
+    assert got == {"c": (3, 3, 0, 1), "d": (1, 0, 1, 0), "e": (0, 0, 0, 1)}

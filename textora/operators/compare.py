@@ -94,14 +94,19 @@ def new_limitations(before: DataFrame, after: DataFrame) -> DataFrame:
 def benchmark_scores(found: DataFrame, expected: DataFrame) -> DataFrame:
     """category, labelled, hit, missed, wrong, recall, precision. Both: id, category, start, end.
 
-    Each label claims the first unclaimed overlapping find of its category and each find answers one label: of the
-    overlapping pairs those that are each other's first choice count.
+    As in the reference, each find in turn, by where it starts, claims the first label of its text and category that it
+    overlaps and that is not claimed yet.
     """
-    f, e = found.withColumnRenamed("start", "fs").withColumnRenamed("end", "fe"), expected
-    pairs = e.join(f, ["id", "category"]).where("start < fe and fs < end")
-    of_label, of_find = Window.partitionBy("id", "category", "start", "end").orderBy("fs"), Window.partitionBy("id", "category", "fs", "fe").orderBy("start")
-    claimed = pairs.withColumns({"_l": F.row_number().over(of_label), "_f": F.row_number().over(of_find)}).where("_l = 1 and _f = 1")
-    rows = [expected.groupBy("category").agg(F.count("*").alias("labelled")), claimed.groupBy("category").agg(F.count("*").alias("hit")), found.groupBy("category").agg(F.count("*").alias("reported"))]
+    spans = lambda df: df.groupBy("id", "category").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    both = spans(expected).withColumnRenamed("spans", "labels").join(spans(found).withColumnRenamed("spans", "finds"), ["id", "category"])
+
+    def claim(taken: Column, find: Column) -> Column:
+        free = lambda label, i: (find["start"] < label["end"]) & (label["start"] < find["end"]) & ~F.array_contains(taken, i)
+        at = F.transform("labels", lambda label, i: F.when(free(label, i), i))
+        return F.concat(taken, F.slice(F.filter(at, lambda i: i.isNotNull()), 1, 1))
+
+    claimed = both.select("category", F.size(F.aggregate("finds", F.array().cast("array<int>"), claim)).alias("hit"))
+    rows = [expected.groupBy("category").agg(F.count("*").alias("labelled")), claimed.groupBy("category").agg(F.sum("hit").alias("hit")), found.groupBy("category").agg(F.count("*").alias("reported"))]
     out = rows[0].join(rows[1], "category", "full").join(rows[2], "category", "full").na.fill(0)
     share = lambda n, d: F.bround(F.try_divide(n * 100.0, d), 1)
     return out.select("category", "labelled", "hit", (F.col("labelled") - F.col("hit")).alias("missed"), (F.col("reported") - F.col("hit")).alias("wrong"), share(F.col("hit"), F.col("labelled")).alias("recall"), share(F.col("hit"), F.col("reported")).alias("precision"))
