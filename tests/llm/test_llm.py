@@ -137,3 +137,11 @@ def test_lines_without_spaces_equal_brute_force(spark):
     want = set(smallest(range(len(lines)), char_links(lines)).values())
     assert want == {0, 2, 4, 6, 8, 10, 12, 13, 14}
     assert lines_kept(spark, lines) == want
+
+
+def test_mix_takes_what_each_source_should_give(spark, sf_dir):
+    taken, target, largest = {}, {}, {}
+    for r in queries.op1_entropy_mix(spark, sf_dir).collect():
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source], largest[r.source] = r.target, max(largest.get(r.source, 0), r["size"])
+    assert all(abs(taken[s] - target[s]) <= largest[s] for s in target)
