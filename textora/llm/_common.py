@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +15,17 @@ LOWER = UPPER.lower()
 #: What separates words everywhere: space and the controls U+0009 to U+000D.
 BLANK = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANK}]+"
-#: Rows up to which a narrow table (a few tens of bytes a row) is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local session (tests)
+    gets a folder of its own, and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textora-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -46,9 +51,16 @@ def drop_saved(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its count, taken from the saved table, is within the bound; else df, to be shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, a saved table, with a broadcast hint if its values take at most so many bytes; else df, to be shuffled.
+
+    Strings, binaries and arrays of fixed-width values count by their lengths, other values as 8 bytes.
+    """
+    parts = {"string": F.octet_length, "binary": F.octet_length}
+    sizes = [parts[k](F.col(f"`{c}`")) if k in parts else F.size(F.col(f"`{c}`")) * 8 * (k.count(",") + 1) if k.startswith("array") else None for c, k in df.dtypes]
+    long = [F.coalesce(x, F.lit(0)) for x in sizes if x is not None]
+    total = reduce(add, long, F.lit(16 + 8 * (len(sizes) - len(long))))
+    return F.broadcast(df) if (df.agg(F.sum(total.cast("long"))).first()[0] or 0) <= most else df
 
 
 def lower_ascii(c: Column) -> Column:
@@ -61,5 +73,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"_{name}{i}" for i in range(len(taken) + 1)) if n not in taken)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

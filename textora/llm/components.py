@@ -24,6 +24,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return hung.where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs under one other at most, and has then nothing under it."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node that can be reached.
 
@@ -33,12 +39,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull())
     now = save(pairs.where("u <> v").distinct(), "cc")
-    mark = None
     for _ in range(max_rounds):
-        n, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if n == 0 or (n, total) == mark:
+        if _settled(now):
             break
-        mark = (n, total)
         after = save(_star(_star(now, True), False), "cc")
         drop_saved(now)
         now = after

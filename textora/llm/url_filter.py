@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textora.llm._common import BROADCAST_ROWS, lower_ascii, save, small
+from textora.llm._common import lower_ascii, save, small
 from textora.llm.components import connected_components
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -58,11 +58,11 @@ def rule_for(urls: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFram
     """urls (url, distinct) with rule and rule_verdict of the longest rule that fits, null where none does.
 
     Each host meets the rules by its own suffixes (a.b.org: a.b.org, b.org, org), an equality join whatever the number
-    of rules; the rules are the caller's list, broadcast up to BROADCAST_ROWS of them.
+    of rules, whose table is broadcast if it is small.
     """
     spark = urls.sparkSession
     table = spark.createDataFrame([(h.lower(), p, v) for h, p, v in rules], "rule_host string, rule_path string, rule_verdict string")
-    table = F.broadcast(table) if len(rules) <= BROADCAST_ROWS else table
+    table = small(table)
     labels = F.split(host_of(F.col("url")), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hits = (
