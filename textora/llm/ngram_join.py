@@ -5,10 +5,12 @@ Documents with one shingle set are one class from the start. Classes are split b
   subset are linked by their sizes alone, through the smallest of them, without any comparison;
 - heavy (large sets): inverted lists of shingles are scanned. Two linked sets share k shingles among the first
   n - ceil(t * n) + k of each in any common order. A first scan, in hash order and with k about a 25th of a set, keeps the
-  sets of which k shingles lie in lists that hold another set at all. A second, with k = 1 for these alone, puts frequent shingles last, so that lists of edited copies part; in it
-  candidates are met in rounds. Each round pairs every set with the least set of each list that is not in its component
-  yet; pairs are tested by an upper bound of what they share, then by exact Jaccard similarity, and linked components merge; only then are the pairs enumerated
-  that still lie in two components.
+  sets of which k shingles lie in lists that hold another set at all. A second, with k = 1 for these alone, puts frequent
+  shingles last, so that lists of edited copies part. In it every set first meets one set of each list; pairs are tested by
+  an upper bound of what they share, then by exact Jaccard similarity, and linked components merge. Sets near one another
+  make clusters with a reference set each: two sets of a cluster that both differ little from the reference are linked for
+  sure, and others must share some of what differs, which is rare, so large groups of near copies make no pairs among
+  themselves that this does not call for. Of two clusters the pairs are enumerated that still lie in two components.
 Nothing is capped: every pair left out is either linked through others already or cannot reach the threshold.
 """
 
@@ -21,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textora.llm._common import drop_saved, save, small
@@ -32,7 +34,8 @@ from textora.llm.wordhash import words
 MOST_LIGHT = 24
 #: Slots of the frequency table that orders shingles in the second scan (4 bytes each): order sets cost, not results.
 SLOT_BITS = 18
-STAR_ROUNDS = 3
+#: Least hashes of a set by which sets are told to be near one another: this groups sets, and decides no link.
+SKETCH = 24
 
 
 def overlap(a: int, b: int, t: tuple[int, int]) -> int:
@@ -133,6 +136,7 @@ def _full(n: int):
                 yield pa.RecordBatch.from_pydict({
                     "set_id": b.column("set_id").slice(first, len(sets)), "n": pa.array([len(s) for s in sets], pa.int64()),
                     "hashes": pa.array([s.tobytes() for s in sets], pa.binary()), "tally": pa.array([_counts(s) for s in sets], pa.binary()),
+                    "sketch": pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary()),
                 })
 
     return full
@@ -145,19 +149,25 @@ def _counts(h: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
-def _possible(t: tuple[int, int]):
-    """Of pairs with their tallies, those that can be linked: no more is common than the lesser count of each run of bits."""
+def _weigh(t: tuple[int, int]):
+    """Of pairs with their tallies and sketches: `possible`, whether they can be linked (no more is common than the lesser
+    count of each run of bits), and `near`, whether their sketches hold about a third in common. Others end here."""
 
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, q = t
         for b in batches:
-            ok = []
-            for n, x, y in zip(b.column("n").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                u, v = (np.frombuffer(k, np.uint8).astype(np.int32) for k in sorted((x, y), key=len))
-                ok.append(not len(u) or int(np.minimum(u, v.reshape(len(u), -1).sum(1)).sum()) * (p + q) >= p * n)
-            yield pa.RecordBatch.from_pydict({k: b.column(k).filter(pa.array(ok, pa.bool_())) for k in ("a", "b")})
+            possible, near = [], []
+            for n, x, y, u, v in zip(*(b.column(c).to_pylist() for c in ("n", "x", "y", "u", "v")), strict=True):
+                some, more = (np.frombuffer(k, np.uint8).astype(np.int32) for k in sorted((x, y), key=len))
+                possible.append(not len(some) or int(np.minimum(some, more.reshape(len(some), -1).sum(1)).sum()) * (p + q) >= p * n)
+                u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
+                both = np.union1d(u, v)[:SKETCH]
+                near.append(3 * int((np.isin(both, u) & np.isin(both, v)).sum()) >= len(both))
+            kept = np.array(possible, bool) | np.array(near, bool)
+            out = {k: b.column(k).filter(pa.array(kept)) for k in ("a", "b")}
+            yield pa.RecordBatch.from_pydict(out | {"possible": pa.array(np.array(possible, bool)[kept]), "near": pa.array(np.array(near, bool)[kept])})
 
-    return possible
+    return weigh
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -223,49 +233,123 @@ def _verify(t: tuple[int, int]):
     return verify
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The linked ones of pairs (a, b), by their whole sets; what their tallies rule out does not make sets travel."""
-    side = lambda k, n, x: sets.select(F.col("set_id").alias(k), F.col("n").alias(n), F.col("tally").alias(x))
-    both = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "x", "y")
-    pairs = save(both.mapInArrow(_possible(t), "a long, b long"), "ngram-possible")
+def _weighed(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(a, b, possible, near) of pairs (a, b), saved: only tallies and sketches travel."""
+    side = lambda k, n, x, u: sets.select(F.col("set_id").alias(k), F.col("n").alias(n), F.col("tally").alias(x), F.col("sketch").alias(u))
+    both = pairs.join(side("a", "na", "x", "u"), "a").join(side("b", "nb", "y", "v"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "x", "y", "u", "v")
+    return save(both.mapInArrow(_weigh(t), "a long, b long, possible boolean, near boolean"), "ngram-weighed")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The linked ones of pairs (a, b), by their whole sets."""
     x, y = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y"))
     return save(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(t), "a long, b long"), "ngram-links")
 
 
-def _heavy_links(postings: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """(a, b): links that make all components of the sets."""
+def _parts(edges: DataFrame, name: str) -> DataFrame:
+    """(set_id, name) of the components of edges (a, b), saved."""
+    return save(connected_components(edges, "a", "b").select(F.col("node").alias("set_id"), F.col("component").alias(name)), "ngram-parts")
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _fits(m: str, n: str, t: tuple[int, int]) -> Column:
+    """Whether the sizes of two sets allow a link."""
+    return F.least(m, n) * t[1] >= F.greatest(m, n) * t[0]
+
+
+def _stars(postings: DataFrame, sets: DataFrame, t: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, near, tested): every set meets one set of each of its lists, the one with the fewest rarer shingles of its
+    own, which of edited copies is the least edited."""
+    lists = postings.groupBy("shingle").agg(F.min_by(F.struct("set_id", "n"), F.struct("place", "set_id")).alias("hub"))
+    lists = lists.select("shingle", F.col("hub.set_id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    met = postings.join(lists, "shingle").where((F.col("set_id") != F.col("hub")) & _fits("n", "hub_n", t))
+    tested = save(met.select(*_pair("set_id", "hub")).distinct(), "ngram-pairs")
+    weighed = _weighed(tested, sets, t)
+    return _verified(weighed.where("possible"), sets, t), weighed.where("near").select("a", "b"), tested
+
+
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What differs between a set and the reference of its cluster: size and hashes."""
+    for b in batches:
+        gone = [np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).view(np.int64) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+        cut = pa.array(np.concatenate([[0], np.cumsum([len(d) for d in gone])]).astype(np.int32))
+        flat = pa.array(np.concatenate(gone) if gone else np.empty(0, np.int64))
+        yield pa.RecordBatch.from_pydict({c: b.column(c) for c in ("cluster", "set_id", "n")} | {"size": pa.array([len(d) for d in gone], pa.int64()), "delta": pa.ListArray.from_arrays(cut, flat)})
+
+
+def _differences(near: DataFrame, postings: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(cluster, set_id, n, size, delta, g, least, m) of the sets that stars found near one another, saved.
+
+    delta is what differs between a set and the reference of its cluster, its member with the fewest rare shingles. With
+    g = size * (p + q) - n * (q - p) two sets are linked for sure where g + g' <= 0, as they then differ in little enough;
+    m is the member of least g, and least that g.
+    """
+    p, q = t
+    clusters = _parts(near, "cluster")
+    own = postings.groupBy("set_id").agg(F.min("place").alias("own"))
+    members = save(own.join(small(clusters), "set_id"), "ngram-members")
+    refs = members.groupBy("cluster").agg(F.min(F.struct("own", "set_id")).alias("r")).select("cluster", F.col("r.set_id").alias("set_id"))
+    refs = save(refs.join(sets.select("set_id", F.col("hashes").alias("y")), "set_id").select("cluster", "y"), "ngram-references")
+    both = members.join(sets.select("set_id", "n", F.col("hashes").alias("x")), "set_id").join(small(refs), "cluster")
+    deltas = both.select("cluster", "set_id", "n", "x", "y").mapInArrow(_differ, "cluster long, set_id long, n long, size long, delta array<long>")
+    deltas = save(deltas.withColumn("g", F.col("size") * (p + q) - F.col("n") * (q - p)), "ngram-deltas")
+    least = deltas.groupBy("cluster").agg(F.min(F.struct("g", "set_id")).alias("m"))
+    return save(deltas.join(small(save(least.select("cluster", F.col("m.g").alias("least"), F.col("m.set_id").alias("m")), "ngram-least")), "cluster"), "ngram-clustered")
+
+
+def _alike(clustered: DataFrame, parts: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(a, b): pairs of one cluster that can be linked though g + g' > 0, less those in one component.
+
+    They share at least alpha = (g + g') / (2 (p + q)) members of their deltas, so one among the first size - alpha + 1 of
+    each, rare ones first. Sets with g + least <= 0 are linked with m and so with one another: one of a pair is far from m,
+    with g > -least, which bounds alpha from below for the other.
+    """
+    p, q = t
+    flat = clustered.select("cluster", "set_id", "n", "size", "g", "least", F.explode("delta").alias("gram"))
+    often = flat.groupBy("cluster", "gram").agg(F.count("*").alias("often")).where("often > 1")
+    mine = flat.join(often, ["cluster", "gram"]).groupBy("cluster", "set_id", "n", "size", "g", "least").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("grams"))
+    each = mine.withColumn("shared", F.size("grams")).select("cluster", "set_id", "n", "size", "g", "least", "shared", F.posexplode("grams").alias("i", "x"))
+    each = each.withColumns({"gram": F.col("x.gram"), "place": F.col("size") - F.col("shared") + F.col("i"), "far": F.col("g") + F.col("least") > 0})
+    alpha = lambda g: F.greatest(F.lit(1), F.ceil(g / F.lit(2.0 * (p + q)) - 1e-9))
+    held = F.ceil((F.col("g") - F.col("n") * (q - p) * q / F.lit(p)) / F.lit(p + q) - 1e-9)  # a partner's delta holds alpha
+    each = each.withColumns({"for_far": F.col("size") - F.greatest(alpha(F.col("g") - F.col("least")), held) + 1, "for_near": F.col("size") - F.greatest(alpha(F.col("g") + F.col("least")), held) + 1})
+    each = each.where(F.col("place") < F.when(F.col("far"), F.greatest("for_far", "for_near")).otherwise(F.col("for_far")))
+    each = each.join(small(parts), "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
+    each = save(each.select("cluster", "gram", "set_id", "n", "size", "g", "place", "far", "for_far", "for_near", "part"), "ngram-alike")
+    x, y = each.where("far").alias("x"), each.alias("y")
+    met = (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") != F.col("y.part")) & _fits("x.n", "y.n", t)
+    met &= F.when(F.col("y.far"), (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.place") < F.col("x.for_far"))).otherwise(F.col("x.place") < F.col("x.for_near")) & (F.col("y.place") < F.col("y.for_far"))
+    met &= F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) * (2 * (p + q)) >= F.col("x.g") + F.col("y.g")
+    return x.join(y, met).select(*_pair("x.set_id", "y.set_id"))
+
+
+def _apart(postings: DataFrame, clusters: DataFrame, parts: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(a, b): pairs of two clusters and two components, met at a place from which enough shingles can still follow."""
     p, q = t
-    links, tested = None, None
-    now = postings.withColumn("part", F.col("set_id"))
-    fits = lambda m, n: F.col(m) * q >= F.col(n) * p
-    for _ in range(STAR_ROUNDS):
-        # Within a list the least component's least set meets every set outside that component.
-        lists = now.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("shingle", "least")
-        hub = now.join(lists, "shingle").where("part = least").groupBy("shingle", "least").agg(F.min("set_id").alias("hub"), F.min_by("n", "set_id").alias("hub_n"))
-        met = now.join(hub, "shingle").where(F.col("part") != F.col("least"))
-        met = met.where(F.when(F.col("n") < F.col("hub_n"), fits("n", "hub_n")).otherwise(fits("hub_n", "n")))
-        pairs = met.select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
-        pairs = save(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "ngram-pairs")
-        if pairs.limit(1).count() == 0:
-            break
-        found = _linked(pairs, sets, t)
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        parts = save(connected_components(links, "a", "b"), "ngram-parts")
-        if links is not found:
-            drop_saved(now)
-        now = save(postings.join(small(parts.select(F.col("node").alias("set_id"), "component")), "set_id", "left").select("shingle", "set_id", "n", "place", F.coalesce("component", "set_id").alias("part")), "ngram-postings")
-    # What is left: pairs in two components, met at a place from which enough shingles can still follow.
-    some = now.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("shingle")
+    now = postings.join(small(parts), "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
+    now = now.join(small(clusters), "set_id", "left").withColumn("cluster", F.coalesce("cluster", "set_id"))
+    now = save(now, "ngram-apart")
+    some = now.groupBy("shingle").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most"), F.min("part").alias("one"), F.max("part").alias("other")).where("least < most and one < other").select("shingle")
     left = now.join(some, "shingle")
     x, y = left.alias("x"), left.alias("y")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * p / F.lit(p + q) - 1e-9)
     room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    cond = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.n") * q >= F.col("y.n") * p) & (F.col("y.n") * q >= F.col("x.n") * p) & (room >= need)
-    rest = x.join(y, cond).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
-    rest = save(rest.join(tested, ["a", "b"], "left_anti") if tested is not None else rest, "ngram-rest")
-    found = _linked(rest, sets, t)
-    return found if links is None else links.union(found)
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.cluster") != F.col("y.cluster")) & _fits("x.n", "y.n", t) & (room >= need)
+    return x.join(y, met).select(*_pair("x.set_id", "y.set_id"))
+
+
+def _heavy_links(postings: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(a, b): links that make all components of the sets."""
+    links, near, tested = _stars(postings, sets, t)
+    clustered = _differences(near, postings, sets, t)
+    links = links.union(clustered.where("set_id <> m and g + least <= 0").select(*_pair("set_id", "m")))
+    parts = _parts(links, "part")
+    pairs = _alike(clustered, parts, t).union(_apart(postings, clustered.select("set_id", "cluster"), parts, t))
+    pairs = save(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
+    return links.union(_verified(_weighed(pairs, sets, t).where("possible"), sets, t))
 
 
 def _light(t: tuple[int, int], bound: int):
@@ -309,8 +393,10 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4,
     counted = {r["n"]: r["count"] for r in classes.where(F.col("n") <= MOST_LIGHT * q // p).groupBy("n").count().collect()}  # a row per small size
     bound = boundary(counted, t)
     subsets = classes.where(F.col("n") <= bound * q // p).select("set_id", "n", "lead").mapInArrow(_light(t, bound), "subset binary, set_id long, n long, c long")
-    hub = Window.partitionBy("subset").orderBy("n", "set_id")
-    met = subsets.withColumns({"hub": F.first("set_id").over(hub), "hub_n": F.first("n").over(hub)}).where("hub <> set_id")
+    subsets = save(subsets, "ngram-subsets")
+    hubs = subsets.groupBy("subset").agg(F.count("*").alias("k"), F.min(F.struct("n", "set_id")).alias("h")).where("k > 1")
+    hubs = save(hubs.select("subset", F.col("h.set_id").alias("hub"), F.col("h.n").alias("hub_n")), "ngram-hubs")
+    met = subsets.join(small(hubs), "subset").where("hub <> set_id")
     light = save(met.where(F.col("c") * (p + q) >= p * (F.col("n") + F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct(), "ngram-light")
 
     spares = lambda m: m - F.ceil(m * p / F.lit(q) - 1e-9)
@@ -323,7 +409,7 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4,
     kept = save(met.where(F.col("met") >= extras(F.ceil(F.col("n") * p / F.lit(q) - 1e-9))).select("set_id"), "ngram-kept")
     kept = save(classes.select("set_id", "text_key").join(small(kept), "set_id"), "ngram-asked")
     texts = given.select("text_key", "text").join(small(kept), "text_key").dropDuplicates(["set_id"])
-    sets = save(texts.mapInArrow(_full(n), "set_id long, n long, hashes binary, tally binary"), "ngram-sets")
+    sets = save(texts.mapInArrow(_full(n), "set_id long, n long, hashes binary, tally binary, sketch binary"), "ngram-sets")
     freq = docs.sparkSession.sparkContext.broadcast(_frequencies(sets))
     postings = save(sets.mapInArrow(_postings(freq, t), "shingle long, set_id long, n long, place long"), "ngram-postings")
     # Lists of the same sets (of one shared passage, say) become one, named by their members, with each set's first place.
