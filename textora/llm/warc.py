@@ -1,8 +1,10 @@
 """Deterministic sharded WARC writer, and the reader of what it wrote.
 
-Records are sorted by page id into shards of near-equal size whose bounds come from exact counts, so that reruns make the
-same files. Within a shard files roll once their compressed size reaches a limit. Every record is a gzip member of its
-own; headers and digests are made anew from the payload. A file is written under a temporary name of its task attempt
+Records stand in one order, by page id and payload digest, and a shard begins at every so many payload bytes of it: sums
+of the ranges before and a running sum within each range give every record's place, so that reruns make the same files
+whatever the number of tasks. What the driver holds is the first key of each shard. Shards are dealt out in ranges.
+Within a shard files roll once their compressed size reaches a limit. Every record is a gzip member of its own; headers
+and digests are made anew from the payload. A file is written under a temporary name of its task attempt
 and moved to its final name when whole; files count only once the manifest, a Parquet table that Spark commits, lists
 them, so a lost executor's half-written files are never read. Paths may be in any store that pyarrow can write.
 """
@@ -19,15 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textora.llm._common import save, small
+from textora.llm._common import drop_saved, save, small
 
 #: Payload bytes of a shard (one task's work), and compressed bytes at which a file is closed.
-SHARD_BYTES = 256 << 20
-ROLL_BYTES = 64 << 20
-CELLS = 256
+SHARD_BYTES = 64 << 20
+ROLL_BYTES = 16 << 20
+#: Stands for a null id where records are ordered: such records come first.
+NO_ID = -(1 << 63)
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, shard int, seq int, records long, bytes long, first_id long, last_id long"
@@ -41,7 +44,11 @@ def _base32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def _record(page_id, url: str | None, body: bytes, kind: str, refers_to) -> bytes:
+def _uri(url: str) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
+def _record(page_id, url: str | None, body: bytes, kind: str, refers_to, refers_url: str | None) -> bytes:
     """One gzip member. The block of a revisit has the HTTP head alone, whose length header tells the payload's size."""
     digest = _base32(hashlib.sha1(body).digest())
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + (body if kind == "response" else b"")
@@ -49,9 +56,10 @@ def _record(page_id, url: str | None, body: bytes, kind: str, refers_to) -> byte
     if page_id is not None:
         head.append(("X-Page-ID", str(page_id)))
     if url is not None:
-        head.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
+        head.append(("WARC-Target-URI", _uri(url)))
     if kind == "revisit":
-        head += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-ID", str(refers_to))]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id(refers_to, refers_url, digest)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-ID", str(refers_to))]
+        head += [("WARC-Refers-To-Target-URI", _uri(refers_url))] if refers_url is not None else []
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     raw = b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
     deflate = zlib.compressobj(6, zlib.DEFLATED, 31)  # a gzip head without name and time
@@ -86,49 +94,36 @@ class _Rolling:
         return {"file": self.name, "shard": self.shard, "seq": seq, "records": self.records, "bytes": self.bytes, "first_id": self.first, "last_id": self.last}
 
 
-def _bounds(rows: DataFrame, shard_bytes: int) -> list[int]:
-    """Least ids of the second and later shards. Exact byte counts of id ranges, refined where a range is too heavy."""
-    lo, hi = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    if lo is None:
+def _bounds(keys: DataFrame, shard_bytes: int) -> list[tuple[int, int]]:
+    """First key (id, payload) of every shard, in order, of keys (id, payload, n_bytes)."""
+    ranges = save(keys.repartitionByRange("id", "payload").withColumn("range", F.spark_partition_id()), "warc-ranges")
+    sums = sorted(ranges.groupBy("range").agg(F.sum("n_bytes").alias("n")).collect())  # a row a range
+    before = np.cumsum([0, *(n for _, n in sums)]).tolist()
+    if not sums:
         return []
-    done, heavy = [], [(lo, hi)]
-    while heavy:
-        edges = sorted({a + (b - a + 1) * i // CELLS for a, b in heavy for i in range(CELLS)})
-        ends = {a: b for a, b in heavy}
-        starts, last = [], None
-        for e in edges:
-            last = ends.get(e, last)
-            starts.append((e, last))
-        cell = _position(edges)
-        inside = F.lit(False)
-        for a, b in heavy:
-            inside = inside | F.col("page_id").between(a, b)
-        counted = dict(rows.where(inside).groupBy(cell(F.col("page_id")).alias("cell")).agg(F.sum("n_bytes")).collect())  # at most CELLS rows a heavy range
-        heavy = []
-        for i, (a, top) in enumerate(starts):
-            b = min(starts[i + 1][0] - 1 if i + 1 < len(starts) else top, top)
-            if (n := counted.get(i + 1, 0)) > shard_bytes and b > a:
-                heavy.append((a, b))
-            elif n:
-                done.append((a, n))
-    bounds, total = [], 0
-    for a, n in sorted(done):
-        if total and total + n > shard_bytes:
-            bounds.append(a)
-            total = 0
-        total += n
-    return bounds
-
-
-def _position(edges: list[int]):
-    """A UDF: how many edges are at or below an id."""
-    held = np.array(edges, dtype=np.int64)
+    start = keys.sparkSession.createDataFrame([(r, b) for (r, _), b in zip(sums, before, strict=False)], "range int, before long")
+    running = F.sum("n_bytes").over(Window.partitionBy("range").orderBy("id", "payload").rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranges.withColumn("inside", F.coalesce(running, F.lit(0))).join(F.broadcast(start), "range")
+    shards = placed.groupBy(F.floor((F.col("before") + F.col("inside")) / shard_bytes).alias("shard")).agg(F.min(F.struct("id", "payload")).alias("first"))
+    return [(r["first"]["id"], r["first"]["payload"]) for r in shards.orderBy("shard").collect()]  # 16 bytes a shard
+
+
+def _shard(bounds: list[tuple[int, int]]):
+    """A UDF: the last shard whose first key is at or below a record's (id, payload)."""
+    ids, payloads = (np.array(x, dtype=np.int64) for x in zip(*bounds, strict=True))
 
     @F.pandas_udf("int")
-    def place(ids):
+    def place(id_, payload):
         import pandas as pd
 
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(held, ids.fillna(0).astype("int64"), side="right"))).astype("int32")
+        own, key = id_.to_numpy(), payload.to_numpy()
+        lo, hi = np.searchsorted(ids, own, side="left"), np.searchsorted(ids, own, side="right")
+        at = hi - 1
+        for i in np.unique(own[hi > lo]):  # ids at which shards begin: their records lie before, between or after by payload
+            mine = own == i
+            first, last = np.searchsorted(ids, i, side="left"), np.searchsorted(ids, i, side="right")
+            at[mine] = first + np.searchsorted(payloads[first:last], key[mine], side="right") - 1
+        return pd.Series(np.maximum(at, 0)).astype("int32")
 
     return place
 
@@ -136,39 +131,41 @@ def _position(edges: list[int]):
 def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url: str = "url", html: str = "html", least: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes a record per row of pages under uri and returns the manifest.
 
-    Null html counts as empty. Of rows with equal payloads of at least `least` bytes the one with the greatest id is a
-    response and the others revisit it; rows that tie on that id are all responses, as are rows of a group without ids.
-    A null url or id gives a record without that header; null ids go to the first shard. An empty table gives an empty
-    manifest and no file. Other columns are not looked at.
+    Null html counts as empty. Of rows with equal payloads (equal length and SHA-256; SHA-1, which headers carry, can be
+    made to collide) of at least `least` bytes the one with the greatest id is a response and the others revisit it; rows
+    that tie on that id are all responses, as are rows of a group without ids. A null url or id gives a record without
+    that header; null ids come first. Rows that repeat both id and payload stay in one shard. An empty table gives an
+    empty manifest and no file. Other columns are not looked at. Rows that repeat id, payload and url make equal records.
     """
-    body = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("body"))
-    digest = [F.unhex(F.sha1("body")).alias("digest"), F.octet_length("body").alias("n_bytes")]
-    narrow = save(rows.select("page_id", *digest), "warc-narrow")
-    repeats = narrow.where(F.col("n_bytes") >= least).groupBy("digest", "n_bytes").agg(F.count("*").alias("rows"), F.max("page_id").alias("last"))
-    repeats = small(save(repeats.where("rows > 1").select("digest", "n_bytes", "last"), "warc-repeats"))
-    bounds = _bounds(narrow, shard_bytes)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("body"))
+    keyed = rows.select("*", F.unhex(F.sha2("body", 256)).alias("digest"), F.octet_length("body").alias("n_bytes"))
+    keyed = keyed.select("*", F.coalesce("page_id", F.lit(NO_ID)).alias("id"), F.xxhash64("digest").alias("payload"))
+    narrow = save(keyed.select("page_id", "url", "digest", "n_bytes", "id", "payload"), "warc-narrow")
+    repeats = narrow.where(F.col("n_bytes") >= least).groupBy("digest", "n_bytes").agg(F.count("*").alias("rows"), F.max(F.struct("page_id", "url")).alias("l"))
+    repeats = small(save(repeats.where("rows > 1").select("digest", "n_bytes", F.col("l.page_id").alias("last"), F.col("l.url").alias("last_url")), "warc-repeats"))
+    bounds = _bounds(narrow.select("id", "payload", "n_bytes"), shard_bytes)
+    drop_saved(narrow)
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    placed = (
-        rows.select("*", *digest)
-        .join(repeats, ["digest", "n_bytes"], "left")
-        .select("page_id", "url", "body", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("last")).alias("refers_to"))
-        .withColumn("shard", _position(bounds)(F.col("page_id")) if bounds else F.lit(0))
-    )
-    sharded = placed.repartition(max(len(bounds) + 1, 1), "shard").sortWithinPartitions("shard", "page_id", "kind", F.xxhash64("body"))
+    kind = [F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("last")).alias("refers_to"), F.when(revisit, F.col("last_url")).alias("refers_url")]
+    placed = keyed.join(repeats, ["digest", "n_bytes"], "left").select("page_id", "id", "payload", "url", "body", *kind)
+    placed = placed.withColumn("shard", _shard(bounds)("id", "payload") if bounds else F.lit(0))
+    sharded = placed.repartitionByRange(max(len(bounds), 1), "shard").sortWithinPartitions("shard", "id", "payload", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, roll = [], _Rolling(uri, roll_bytes)
         for batch in batches:
-            for r in zip(*(batch.column(c) for c in ("shard", "page_id", "url", "body", "kind", "refers_to")), strict=True):
-                shard, page_id, link, text, kind, refers_to = (x.as_py() for x in r)
-                files += roll.put(shard, page_id, _record(page_id, link, text.encode(), kind, refers_to))
+            for r in zip(*(batch.column(c) for c in ("shard", "page_id", "url", "body", "kind", "refers_to", "refers_url")), strict=True):
+                shard, page_id, link, text, kind, refers_to, refers_url = (x.as_py() for x in r)
+                files += roll.put(shard, page_id, _record(page_id, link, text.encode(), kind, refers_to, refers_url))
         if roll.out:
             files.append(roll.close())
         names = [x.split()[0] for x in MANIFEST.split(", ")]
         yield pa.RecordBatch.from_pydict({n: pa.array([f[n] for f in files], pa.string() if n == "file" else pa.int32() if n in ("shard", "seq") else pa.int64()) for n in names})
 
     sharded.mapInArrow(write, MANIFEST).write.parquet(f"{uri}/manifest")
+    fs, base = pafs.FileSystem.from_uri(uri)
+    if fs.get_file_info(f"{base}/_temporary").type != pafs.FileType.NotFound:
+        fs.delete_dir(f"{base}/_temporary")  # what lost tasks left
     return pages.sparkSession.read.parquet(f"{uri}/manifest")
 
 
