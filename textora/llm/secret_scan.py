@@ -1,24 +1,22 @@
 """Secret scan behind a trigram index.
 
 From each rule's regular expression a Boolean query over trigrams is derived: an AND of clauses, each an OR of trigram
-sets that any match must hold. Every document has its own posting list of the trigrams that some query names (the index is
-dealt by document, so lists are intersected where the text lies, without a shuffle); rules whose query holds are verified
-by the expression itself. A rule without a mandatory trigram (a run of hex digits) verifies every document.
-Only DataFrame functions.
+sets that any match must hold. The inverted index has postings from each trigram that some query names to the texts that
+hold it. A set's postings are intersected by counting, per text, how many of its trigrams are there; texts that meet every
+clause of a rule are its candidates, and only these are verified by the expression itself. A rule without a mandatory
+trigram (a run of hex digits) scans every text. Only DataFrame functions.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textora.llm._common import let
+from textora.llm._common import drop_saved, let, save, small
 
 MOST_STRINGS = 64
 
@@ -104,10 +102,26 @@ def _trigram_scan(trigrams: list[str]) -> str:
     return "(?=(" + "|".join(either(h) + "(?:" + "|".join("".join(map(either, x)) for x in tails) + ")" for h, tails in heads.items()) + "))"
 
 
-def _holds(postings: Column, query: list[set[frozenset[str]]]) -> Column:
-    """Whether the posting list of a document meets a query."""
-    every = lambda s: reduce(and_, (F.array_contains(postings, t) for t in sorted(s)))
-    return reduce(and_, (reduce(or_, map(every, sorted(c, key=sorted))) for c in query)) if query else F.lit(True)
+def text_key(text: Column) -> Column:
+    """Names a text in the index. Two texts of one key share their candidates, which verification then tells apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def index(docs: DataFrame, trigrams: list[str], text_col: str = "text") -> DataFrame:
+    """(trigram, key): postings of the trigrams, lower-cased, to the texts that hold them."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    held = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_trigram_scan(trigrams)), 1), F.lower))
+    return docs.select(text_key(F.col(text_col)).alias("key"), F.explode(held).alias("trigram")).select("trigram", "key").distinct()
+
+
+def candidates(postings: DataFrame, queries: dict[str, list[set[frozenset[str]]]]) -> DataFrame:
+    """(key, kinds): the texts that meet the query of some rule, and of which rules; postings are intersected by counts."""
+    wanted = [(t, kind, c, s, len(x)) for kind, q in queries.items() for c, sets in enumerate(q) for s, x in enumerate(sorted(sets, key=sorted)) for t in sorted(x)]
+    table = postings.sparkSession.createDataFrame(wanted, "trigram string, kind string, clause int, one int, size int")  # as long as the rules
+    met = postings.join(F.broadcast(table), "trigram").groupBy("key", "kind", "clause", "one").agg(F.count("*").alias("n"), F.min("size").alias("size")).where("n = size")
+    clauses = met.groupBy("key", "kind", "clause").agg(F.lit(1).alias("met")).groupBy("key", "kind").agg(F.count("*").alias("n"))
+    asked = F.create_map(*[F.lit(x) for kind, q in queries.items() for x in (kind, len(q))])[F.col("kind")]
+    return clauses.where(F.col("n") == asked).groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
 def _spans(text: Column, rule: Rule) -> Column:
@@ -137,23 +151,27 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + ADDED_R
     """docs with a column `into`: array<struct<kind,start,end>>, sorted by start, then by the order of rules.
 
     Offsets are in code points, end exclusive. Null text counts as empty and has an empty array. All rows and all other
-    columns stay as they are; a column named like `into` is replaced. Rows stand alone: nothing is shuffled.
+    columns stay as they are; a column named like `into` is replaced. Repeated texts have one entry in the index.
     """
-    queries = {r: trigram_query(r.pattern) for r in rules}
-    named = sorted({t for q in queries.values() for c in q for s in c for t in s})
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    postings = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_trigram_scan(named)), 1), F.lower)) if named else F.array().cast("array<string>")
+    queries = {r.kind: trigram_query(r.pattern) for r in rules}
+    indexed = {k: q for k, q in queries.items() if q}
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     order = {r.kind: i for i, r in enumerate(rules)}
-
-    def of(p):
-        return F.concat(*[F.when(_holds(p, queries[r]), _spans(text, r)).otherwise(none) for r in rules])
+    text = F.coalesce(F.col(f"d.{text_col}"), F.lit(""))
+    rows = docs.alias("d")
+    if indexed:
+        postings = save(index(docs, sorted({t for q in indexed.values() for c in q for s in c for t in s}), text_col), "trigrams")
+        found = save(candidates(postings, indexed), "secret-candidates")
+        drop_saved(postings)
+        rows = rows.join(small(found).alias("c"), text_key(F.col(f"d.{text_col}")) == F.col("c.key"), "left")
+    of = lambda r: F.when(F.array_contains("c.kinds", r.kind), _spans(text, r)).otherwise(none) if r.kind in indexed else _spans(text, r)
 
     def earlier(a, b):
         place = lambda x: F.array_position(F.array(*[F.lit(k) for k in order]), x["kind"])
         return F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
 
-    return docs.withColumn(into, F.array_sort(let(postings, of), earlier))
+    spans = F.array_sort(F.concat(*map(of, rules)), earlier) if rules else none
+    return rows.select(*(F.col(f"d.`{c}`") for c in docs.columns if c != into), spans.alias(into))
 
 
 def spans_text(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
