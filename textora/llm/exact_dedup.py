@@ -3,8 +3,8 @@
 The state, one entry per distinct normalised text, lives in RocksDB under the query's checkpoint in the shared folder. It
 retains the digest (the key), the stable identifier of the row that stays (smallest id), a content locator (file and row
 index of that row) and the number of rows seen. Later batches, and later runs on the same checkpoint, go on from it.
-A hit is a row whose digest the state holds for another row; its full text is held against the located text, and rows
-whose texts differ in spite of equal digests are put apart. Only DataFrame and SQL functions.
+A hit is a row whose digest the state holds for another row; the text at the locator is read again and every hit's full
+text is held against it, combined before any shuffle; rows whose texts differ in spite of equal digests are put apart. Only DataFrame and SQL functions.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textora.llm._common import BLANK, new_path, save, small
+from textora.llm._common import BLANK, BROADCAST_BYTES, new_path, save, small
 
 #: Bytes of new files that one micro-batch takes at most.
 BATCH_BYTES = 64 << 30
@@ -30,12 +30,12 @@ def _literal(path: str) -> str:
     return f"{head}/[{last[0]}]{last[1:]}"
 
 
-def _rows(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest and content locator of every row; the text itself stays behind."""
+def _rows(table: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """doc_id, digest and content locator of every row, and more columns; the text itself stays behind."""
     text = normalised(F.col(text_col))
     return table.select(
         F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"),
-        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"),
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"), *more,
     )
 
 
@@ -71,10 +71,11 @@ def held(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 
 def _collisions(table: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Digests of hits whose full texts are not all the same: least and greatest text of a digest, combined before the shuffle."""
-    full = table.select(F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"), normalised(F.col(text_col)).alias("full"))
-    same = full.join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("full").alias("a"), F.max("full").alias("b"))
-    return same.where("a <> b").select("digest")
+    """Digests of hits (digest, located) whose full texts are not all the located one, combined before the shuffle."""
+    full = _rows(table, id_col, text_col, normalised(F.col(text_col)).alias("full"))
+    located = F.max(F.when(F.col("at") == F.col("located"), F.col("full"))).alias("text")
+    same = full.join(hits, "digest").groupBy("digest").agg(F.min("full").alias("a"), F.max("full").alias("b"), located)
+    return same.where("text is null or a <> text or b <> text").select("digest")
 
 
 def dedup(spark: SparkSession, path: str, checkpoint: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,7 +89,7 @@ def dedup(spark: SparkSession, path: str, checkpoint: str | None = None, id_col:
     advance(spark, path, checkpoint, id_col, text_col)
     table = spark.read.parquet(path)
     state = save(held(spark, checkpoint), "dedup-state")
-    hits = small(save(state.where("n > 1").select("digest"), "dedup-hits"))
+    hits = small(save(state.where("n > 1").select("digest", F.col("keeper.at").alias("located")), "dedup-hits"), 4 * BROADCAST_BYTES)
     apart = save(_collisions(table, hits, id_col, text_col), "dedup-apart")
     rows = _rows(table, id_col, text_col)
     out = rows.join(state, "digest").select(
