@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textora.llm._common import drop_saved, save
+from textora.llm._common import drop_saved, save, small
 from textora.llm.wordhash import Words, words
 
 WINDOW = 35
@@ -224,11 +224,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, id_c
     cold = packed.where("bucket is not null").select("bucket", "packed", "weight").repartition("bucket").sortWithinPartitions("bucket")
     hot = packed.where("bucket is null").groupBy("packed").agg(F.sum("weight").alias("n")).where("n > 1").select(key, F.array(F.lit(0)).alias("at"))
     hits = cold.mapInArrow(_count(window), "packed_key binary, at array<int>").unionByName(hot).groupBy("packed_key").agg(F.flatten(F.collect_set("at")).alias("at"))
+    hits = save(hits, "window-hits")  # so that the join can split the rows of a frequent string
     where = packed.where("weight = 1").select(key, "text_id", "start")
-    found = where.join(hits, "packed_key").select("text_id", F.explode(F.transform("at", lambda a: a + F.col("start"))).alias("start"))
+    found = where.join(small(hits), "packed_key").select("text_id", F.explode(F.transform("at", lambda a: a + F.col("start"))).alias("start"))
     found = save(found.groupBy("text_id").agg(F.collect_list("start").alias("starts")), "window-found")
     cut = save(body.where("weight = 1").select("text_id", "text").join(found, "text_id").mapInArrow(_cut(window), "text_id long, n_removed long, kept string"), "window-cut")
-    for used in (packed, body, shared, seen, found):
+    for used in (packed, body, shared, seen, found, hits):
         drop_saved(used)
     return rows, texts.select("text_id", "digest", "weight", "n_words"), cut
 
