@@ -10,6 +10,8 @@ Only DataFrame functions. What is broadcast is the sketch, within a checked numb
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,14 @@ def words(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
-def _shingles(text: Column, make) -> Column:
+def _shingles(text: Column, make, width: int) -> Column:
     """make(words of a shingle) at every place of a text; empty for fewer words than a shingle has."""
-    at = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: make(*[F.get(w, i + k) for k in range(SHINGLE)]))
-    return let(words(text), lambda w: F.when(F.size(w) >= SHINGLE, at(w)).otherwise(F.array()))
+    at = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: make(*[F.get(w, i + k) for k in range(width)]))
+    return let(words(text), lambda w: F.when(F.size(w) >= width, at(w)).otherwise(F.array()))
+
+
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
 def _text(*w: Column) -> Column:
@@ -43,21 +49,28 @@ def _key(id_col: str, text_col: str) -> list[Column]:
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_key, item_id, n_shingles, n_found, containment) of every pair with containment >= threshold.
 
-    Words are lower-cased runs of letters and digits; shingles are sets of five consecutive words. Items of fewer words
-    have no shingle and match nothing; null texts count as empty. Repeated document rows give one row; items with equal
-    ids are told apart by their texts. text_key is xxhash64 of the document's text, so rows without an id are told apart.
+    Words are lower-cased runs of letters and digits; shingles are sets of five consecutive words. An item of fewer words
+    is one shingle, and found where its words stand in that order. Items without words match nothing; null texts count as
+    empty. Repeated document rows give one row; items with equal ids are told apart by their texts. text_key is xxhash64
+    of the document's text, so rows without an id are told apart.
     """
-    inside = items.select(F.col(item_id).alias("item_id"), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(item_text), F.lit(""))), r"[^\p{L}\p{N}]+", " ")).alias("plain"))
-    inside = inside.select("item_id", "plain", F.array_distinct(_shingles(F.col("plain"), _text)).alias("shingles")).distinct()
-    inside = save(inside.where(F.size("shingles") > 0).select("item_id", F.xxhash64("plain").alias("item_key"), "shingles"), "items")
-    hashed = F.array_distinct(_shingles(F.col("plain"), F.xxhash64))
-    sized = items.select(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(item_text), F.lit(""))), r"[^\p{L}\p{N}]+", " ")).alias("plain")).distinct()
-    sized = sized.select(F.xxhash64("plain").alias("item_key"), F.sort_array(hashed).alias("hashes")).where(F.size("hashes") > 0)
+    own = items.select(F.col(item_id).alias("item_id"), _plain(F.col(item_text)).alias("plain")).where("plain <> ''")
+    own = own.withColumn("width", F.least(F.lit(SHINGLE), F.size(F.split("plain", " "))))
+    widths = sorted(r["width"] for r in own.select("width").distinct().collect())  # five at most
+    each = [_contained(docs, own.where(F.col("width") == w).drop("width"), threshold, id_col, text_col, w) for w in widths or [SHINGLE]]
+    return reduce(DataFrame.union, each)
+
+
+def _contained(docs: DataFrame, items: DataFrame, threshold: float, id_col: str, text_col: str, width: int) -> DataFrame:
+    """contained() for items (item_id, plain) whose shingles have that many words."""
+    inside = items.select("item_id", "plain", F.array_distinct(_shingles(F.col("plain"), _text, width)).alias("shingles")).distinct()
+    inside = save(inside.select("item_id", F.xxhash64("plain").alias("item_key"), "shingles"), "items")
+    sized = items.select("plain").distinct().select(F.xxhash64("plain").alias("item_key"), F.sort_array(F.array_distinct(_shingles(F.col("plain"), F.xxhash64, width))).alias("hashes"))
     upper = F.pow(2.0, F.floor(F.log2(F.size("hashes").cast("double"))) + 1) - 1  # greatest size of the class
     length = F.least(F.size("hashes"), (F.floor(F.lit(1 - threshold + 1e-9) * upper) + 1).cast("int"))
     sketch = small(save(sized.select("item_key", F.explode(F.slice("hashes", 1, length)).alias("h")), "sketch"))
 
-    places = docs.select(*_key(id_col, text_col), F.explode(_shingles(F.col(text_col), F.xxhash64)).alias("h"))
+    places = docs.select(*_key(id_col, text_col), F.explode(_shingles(F.col(text_col), F.xxhash64, width)).alias("h"))
     pairs = save(places.join(sketch, "h").select("doc_id", "text_key", "item_key").distinct(), "suspects")
 
     total = inside.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
@@ -66,7 +79,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, i
     d = docs.select(*_key(id_col, text_col), F.col(text_col).alias("body")).alias("d")
     both = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_key") == F.col("p.text_key"))).select("d.doc_id", "d.text_key", "body", "item_key").join(inside, "item_key")
     n = F.size("shingles")
-    found = both.select("doc_id", "text_key", "item_id", n.cast("long").alias("n_shingles"), F.size(F.array_intersect("shingles", _shingles(F.col("body"), _text))).cast("long").alias("n_found"))
+    found = both.select("doc_id", "text_key", "item_id", n.cast("long").alias("n_shingles"), F.size(F.array_intersect("shingles", _shingles(F.col("body"), _text, width))).cast("long").alias("n_found"))
     return found.distinct().where(F.col("n_found") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - 1e-9)).withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 

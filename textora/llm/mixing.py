@@ -76,6 +76,8 @@ def _solve(strata: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
         after = save(at.select(state.columns), "mix-state")
         drop_saved(state)
         state = after
+    if (off := state.agg(F.max("off")).first()[0] or 0.0) > TOLERANCE:
+        raise RuntimeError(f"a source is {off:.2g} of its target away after {ROUNDS} Newton steps")
     return state
 
 

@@ -19,33 +19,40 @@ URL_RULES = [
 
 
 def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixes all documents towards the cycling weights; rows, nulls and ties as mix() says."""
     mixed = mixing.mix(read(spark, sf_dir, "documents"), mixing.cycling_weights((1.0, 2.0, 3.0)), limit=3.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the shares found; nulls and short items as contained() says."""
     return decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "n_shingles", "n_found", "containment").distinct()
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with the row that stays for it; nulls, repeats and ties as dedup() says."""
     return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of lines, of lines left out, and a digest of what stays; null text: no lines (null), no text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
     left = line_dedup.dedup_lines(docs, lost="n_removed")
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set of four-word shingles and its component; nulls and repeats as ngram_classes() says."""
     return ngram_join.ngram_classes(read(spark, sf_dir, "documents"), n=4, threshold=(17, 20)).drop("text_key")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words, those removed, and a digest of the rest; nulls and repeats as dedup_substrings() says."""
     return substring_dedup.dedup_substrings(read(spark, sf_dir, "documents")).drop("kept")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its counts per base kind and all spans; null text has none."""
     found = secret_scan.scan_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = tuple(r.kind for r in secret_scan.BASE_RULES)
     count = lambda kind: F.size(F.filter("secret_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -54,18 +61,21 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score; null and empty texts are scored like others."""
     docs = read(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives written; nulls and ties as write_warc() says."""
     uri = new_path(spark, "warc")
     warc.write_warc(read(spark, sf_dir, "pages"), uri, least=0)
     return warc.read_warc(spark, uri, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its host, path, rule and verdict; nulls and repeats as url_verdicts() says."""
     return url_filter.url_verdicts(read(spark, sf_dir, "pages"), URL_RULES).drop("component")
 
 
@@ -120,7 +130,8 @@ ds AS (SELECT DISTINCT r, doc_id, unnest(list_transform(range(1, len(w) - 3), la
 its AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) AS s FROM i),
 n AS (SELECT item_id, count(*) AS n_shingles FROM its GROUP BY item_id),
 hit AS (SELECT r, doc_id, item_id, count(*) AS n_found FROM ds JOIN its USING (s) GROUP BY ALL)
-SELECT DISTINCT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM hit JOIN n USING (item_id) WHERE n_found * 5 >= n_shingles * 4""",
+SELECT DISTINCT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM hit JOIN n USING (item_id) WHERE n_found * 5 >= n_shingles * 4
+UNION SELECT doc_id, item_id, 1, 1, 1.0 FROM d JOIN i ON len(i.w) BETWEEN 1 AND 4 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ')""",
         "op9_warc": r"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
 g AS (SELECT *, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS last FROM p)
