@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
 from textora.functions import checks, text as tx
-from textora.operators import chunks, compare, hidden, identifiers
+from textora.operators import chunks, compare, facts, governance, hidden, identifiers, layout
 from textora.plans import catalog
+from textora.sources import files
 from textora.streaming import events as streaming
 
 
@@ -84,3 +85,89 @@ def test_finds_claim_the_next_free_label(spark):
     found = spark.createDataFrame([(1, "c", 0, 4), (1, "c", 6, 14), (2, "c", 0, 2), (2, "c", 3, 4), (2, "e", 0, 5)], kind)
     got = {r.category: (r.labelled, r.hit, r.missed, r.wrong) for r in compare.benchmark_scores(found, expected).collect()}
     assert got == {"c": (3, 3, 0, 1), "d": (1, 0, 1, 0), "e": (0, 0, 0, 1)}
+
+
+def test_identifiers_of_repeated_and_missing_ids(spark):
+    rows = [(1, "mail a.b@example.com now"), (1, "mail c.d@example.com now"), (None, "mail e.f@example.com now"), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.doc_id, r.category, r.line, r.column) for r in identifiers.scan(docs).collect()]
+    assert sorted(found, key=str) == [(1, "email_address", 1, 6), (1, "email_address", 1, 6), (None, "email_address", 1, 6)]
+    masked = sorted(((r.doc_id, r.text) for r in identifiers.mask_text(docs).collect()), key=str)
+    assert len(masked) == len(rows) and not any("@" in (t or "") for _, t in masked)
+
+
+def test_a_term_stands_on_its_line_or_above_a_bare_line(spark):
+    cases = {
+        "NHS number\n943 476 5919": True, "NHS number of Mary\nsomething else 943 476 5919": False, "the NHS number: 943 476 5919": True, "xNHS number: 943 476 5919": False,
+        "943 476 5919 (nhs number)": True, "943 476 5919\nnhs number": False, "nhs number " + "." * 70 + " 943 476 5919": False, "nhs number 943 476 5919.5": False, "nhs number 12/943 476 5919": False,
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    found = {r.doc_id for r in identifiers.candidates(docs).where("category = 'uk_nhs_number'").collect()}
+    assert found == {i for i, hit in enumerate(cases.values()) if hit}
+
+
+def test_previous_run_and_sample_by_ranges(spark):
+    runs = spark.createDataFrame([(i, "a" if i % 3 else None, i * 7 % 50) for i in range(200)], "run long, name string, started long").repartition(5)
+    want, last = {}, {}
+    for r in sorted(runs.collect(), key=lambda r: (r.started, r.run)):
+        want[r.run], last[r.name] = last.get(r.name), r.run
+    assert {r.run: r.previous for r in governance.previous_runs(runs).collect()} == want
+    picked = [r.run for r in governance.stratified_sample(runs, "name", "run", 30).collect()]
+    assert len(picked) == 30 and any(k % 3 == 0 for k in picked)
+
+
+def test_numbers_are_read_in_any_grouping(spark):
+    cases = {"1,234": {1234, 1.234}, "78,500.00": {78500}, "78.500,00": {78500}, "1 234": {1234}, "12": {12}, "1.5": {1.5}, "1,234,567": {1234567}, "1'234": {1234}, "12,34": {12.34}, "12a": set()}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: {float(x) for x in r.v} for r in df.select("t", facts.readings(F.col("t")).alias("v")).collect()}
+    assert got == {k: {float(x) for x in v} for k, v in cases.items()}
+
+
+def test_near_texts_and_values(spark):
+    docs = spark.createDataFrame([(1, "we will deliver the goods on the second of March at noon"), (2, "nothing of the kind"), (3, None), (4, "the total is EUR 78.500,00 today")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "deliver the goods on the second of march"), (2, "deliver the good on a second of march"), (3, "quite another sentence altogether")], "fact long, text string")
+    got = {(r.fact, r.doc_id): r.score for r in facts.near_texts(docs, asked).collect()}
+    assert got[(1, 1)] == 1.0 and 0.9 <= got[(2, 1)] < 1 and len(got) == 2
+    values = spark.createDataFrame([(1, "78,500.00"), (2, "78.5")], "fact long, value string")
+    assert {(r.fact, r.doc_id) for r in facts.values_found(docs, values).collect()} == {(1, 4)}
+
+
+def test_columns_of_a_page(spark):
+    words = [(1, 10.0 + 25 * (i % 8), 30.0 + 25 * (i % 8)) for i in range(40)] + [(1, 330.0 + 25 * (i % 8), 350.0 + 25 * (i % 8)) for i in range(40)] + [(2, 10.0, 300.0)] * 30 + [(3, 1.0, 9.0)]
+    df = spark.createDataFrame(words, "page long, l double, r double")
+    got = {r.page: r.n for r in df.groupBy("page").agg(layout.gutters(F.col("l"), F.col("r"), 600.0).alias("n")).collect()}
+    assert got == {1: 2, 2: 1, 3: None}
+
+
+def test_files_become_documents_and_reports_come_back(spark, tmp_path):
+    folder = tmp_path / "in"
+    (folder / "sub").mkdir(parents=True)
+    (folder / "a.txt").write_text("one\ntwo")
+    (folder / "sub" / "b.md").write_text("# head\n\ntext é")
+    (folder / "sub" / "c.bin").write_bytes(b"\x00")
+    (folder / "mail.eml").write_text("Subject: Offer\nFrom: a@example.com\nContent-Type: text/plain\n\nThe body.\n")
+    found = files.directory(spark, f"file://{folder}")
+    assert {(r.name, r.format) for r in found.collect()} == {("a.txt", "txt"), ("b.md", "md"), ("c.bin", "bin"), ("mail.eml", "eml")}
+    read = {r.name: r.text for r in files.texts(found).collect()}
+    assert read == {"a.txt": "one\ntwo", "b.md": "# head\n\ntext é"}
+    mail = files.mails(found).first()
+    assert (mail.subject, mail.sender, mail.text.strip()) == ("Offer", "a@example.com", "The body.")
+    target = f"file://{tmp_path}/report"
+    report = {"scores": spark.createDataFrame([(1, 2.5), (2, None)], "doc_id long, score double")}
+    files.write_report(report, target)
+    again = files.read_report(spark, target)
+    assert set(again) == {"scores"} and sorted(map(tuple, again["scores"].collect()), key=str) == [(1, 2.5), (2, None)]
+    files.write_texts(spark.createDataFrame([("x/a.txt", "hidden ••••"), ("b.txt", None)], "path string, text string"), f"file://{tmp_path}/masked")
+    assert (tmp_path / "masked/x/a.txt").read_text() == "hidden ••••" and (tmp_path / "masked/b.txt").read_text() == ""
+
+
+def test_items_are_grouped_into_documents(spark):
+    items = spark.createDataFrame([(1, {"file_path": "/a/x.pdf", "page": "2"}, "two"), (0, {"source": "/a/x.pdf", "page": "1"}, "one"), (2, {"other": "y"}, "alone")], "n long, metadata map<string,string>, text string")
+    got = {r.document: (r.pages, r.text) for r in files.as_documents(items).collect()}
+    assert got == {"/a/x.pdf": (2, "one\ntwo"), None: (1, "alone")}
+
+
+def test_chunks_are_placed_one_after_another(spark):
+    docs = spark.createDataFrame([(1, "ab ab cd")], "doc_id long, text string")
+    made = spark.createDataFrame([(1, 0, "ab"), (1, 1, "ab"), (1, 2, "zz"), (1, 3, "cd")], "doc_id long, chunk int, text string")
+    assert [(r.chunk, r.start) for r in chunks.placed(made, docs).orderBy("chunk").collect()] == [(0, 0), (1, 3), (2, None), (3, 6)]

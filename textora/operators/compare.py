@@ -70,10 +70,12 @@ def documents_changed(before: DataFrame, after: DataFrame, key: str = "doc_id")
 
 
 def counted(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
-    """keys, delta of what occurs more or less often than before, as multisets."""
-    a, b = (d.groupBy(*keys).agg(F.count("*").alias(n)) for d, n in ((before, "_a"), (after, "_b")))
-    delta = F.coalesce("_b", F.lit(0)) - F.coalesce("_a", F.lit(0))
-    return a.join(b, list(keys), "full").select(*keys, delta.alias("delta")).where("delta <> 0")
+    """keys, delta of what occurs more or less often than before, as multisets; null keys are one key.
+
+    One grouped sum over both tables, +1 for a row after and -1 for one before, needs no join.
+    """
+    both = before.select(*keys, F.lit(-1).alias("_n")).unionByName(after.select(*keys, F.lit(1).alias("_n")))
+    return both.groupBy(*keys).agg(F.sum("_n").alias("delta")).where("delta <> 0")
 
 
 def scores_changed(before: DataFrame, after: DataFrame, key: str = "doc_id", column: str = "score", least: float = 0.5) -> DataFrame:

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textora.functions.shared import checkpointed
+
 from textora.operators.identifiers import SEVERITY
 
 TIERS = {"confirmed": 3, "corroborated": 2, "pattern": 1, "model": 0}
@@ -152,21 +154,31 @@ def collapsed(stages: DataFrame) -> DataFrame:
 
 
 def trail(sightings: DataFrame, fingerprints: DataFrame) -> DataFrame:
-    """sightings of the values asked for, newest first. sightings: fingerprint, run, started, ..."""
-    return sightings.join(F.broadcast(fingerprints.select("fingerprint").distinct()), "fingerprint", "left_semi").orderBy(F.desc("started"))
+    """sightings of the values asked for, newest first. sightings: fingerprint, run, started, ...; Spark picks the join."""
+    return sightings.join(fingerprints.select("fingerprint").distinct(), "fingerprint", "left_semi").orderBy(F.desc("started"))
 
 
 def previous_runs(runs: DataFrame) -> DataFrame:
-    by = Window.partitionBy("name").orderBy("started", "run")
-    return runs.withColumn("previous", F.lag("run").over(by))
+    """runs (run, name, started) with the run before of the same name; ties by run, null names are one name.
+
+    Runs are sorted by name and time over all tasks. A run's predecessor stands before it in its range, or is the last run
+    of its name in the ranges before; those last runs, one a range and name, are carried over.
+    """
+    ranged = checkpointed(runs.repartitionByRange("name", "started", "run").withColumn("_range", F.spark_partition_id()))
+    ends = ranged.groupBy("_range", "name").agg(F.max(F.struct("started", "run")).alias("_end"))
+    carried = ends.withColumn("_last", F.lag("_end").over(Window.partitionBy("name").orderBy("_range"))["run"])
+    inside = F.lag("run").over(Window.partitionBy("_range", "name").orderBy("started", "run"))
+    both = ranged.withColumn("_inside", inside).alias("r").join(carried.alias("c"), (F.col("r._range") == F.col("c._range")) & F.col("r.name").eqNullSafe(F.col("c.name")))
+    return both.select(*(f"r.{c}" for c in runs.columns), F.coalesce("r._inside", "c._last").alias("previous"))
 
 
 def compare_runs(before: DataFrame, after: DataFrame, key: str = "component", seconds: str = "seconds") -> DataFrame:
     """key, before, after, change: faster, slower, about the same (within 5 %), new or gone."""
-    a, b = (d.groupBy(key).agg(F.sum(seconds).alias(n)) for d, n in ((before, "before"), (after, "after")))
+    both = before.select(key, F.col(seconds).alias("before"), F.lit(None).cast(dict(after.dtypes)[seconds]).alias("after")).unionByName(after.select(key, F.lit(None).cast(dict(before.dtypes)[seconds]).alias("before"), F.col(seconds).alias("after")))
+    summed = both.groupBy(key).agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
     ratio = F.try_divide(F.col("after"), F.col("before"))
     change = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "gone").when(ratio.between(0.95, 1.05), "about the same").when(ratio < 0.95, "faster").otherwise("slower")
-    return a.join(b, key, "full").select(key, "before", "after", change.alias("change"))
+    return summed.select(key, "before", "after", change.alias("change"))
 
 
 def stage_table(spans: DataFrame) -> DataFrame:
@@ -185,18 +197,30 @@ def stage_documents(items: DataFrame) -> DataFrame:
 def stratified_sample(rows: DataFrame, stratum: str, order: str, limit: int) -> DataFrame:
     """At most `limit` rows, by largest remainders per stratum (one each where the limit allows), evenly spaced in order.
 
-    The sizes of the strata go to the driver, one number each; rows are ranked by stratum.
+    A null stratum is a stratum of its own. The sizes of the strata go to the driver, one number each. Rows are numbered
+    within their stratum by range: the table is sorted by stratum and order over all tasks, and a row's number is the
+    count of its stratum in the ranges before plus its place in its own, so a large stratum is no one task's work.
     """
     sizes = {r[stratum]: r["count"] for r in rows.groupBy(stratum).count().collect()}
     take = allocate(sizes, limit)
-    by = Window.partitionBy(stratum).orderBy(order)
-    table = rows.sparkSession.createDataFrame([(k, v) for k, v in take.items()], f"{stratum} {dict(rows.dtypes)[stratum]}, _take int") if take else None
-    if table is None:
+    if not take:
         return rows.limit(0)
-    ranked = rows.join(F.broadcast(table), stratum).withColumns({"_r": F.row_number().over(by) - 1, "_n": F.count("*").over(Window.partitionBy(stratum))})
+    spark, kind = rows.sparkSession, dict(rows.dtypes)[stratum]
+    ranged = checkpointed(rows.repartitionByRange(stratum, order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range", stratum).count().collect()  # a row a range and stratum
+    before, seen = [], {}
+    for r in sorted(counts, key=lambda r: r["_range"]):
+        before.append((r["_range"], r[stratum], seen.get(r[stratum], 0)))
+        seen[r[stratum]] = seen.get(r[stratum], 0) + r["count"]
+    starts = spark.createDataFrame(before, f"_range int, _s {kind}, _before long")
+    table = spark.createDataFrame([(k, t, sizes[k]) for k, t in take.items()], f"_s {kind}, _take long, _n long")
+    own = F.row_number().over(Window.partitionBy("_range", stratum).orderBy(order)) - 1
+    numbered = ranged.withColumn("_own", own).alias("r").join(F.broadcast(table).alias("t"), F.col(f"r.{stratum}").eqNullSafe(F.col("t._s")))
+    numbered = numbered.join(F.broadcast(starts).alias("b"), (F.col("r._range") == F.col("b._range")) & F.col(f"r.{stratum}").eqNullSafe(F.col("b._s")))
     # row r is the i-th pick when r = floor(i * n / take) for some i
-    i = F.ceil(F.col("_r") * F.col("_take") / F.col("_n"))
-    return ranked.where((i < F.col("_take")) & (F.floor(i * F.col("_n") / F.col("_take")) == F.col("_r"))).drop("_r", "_n", "_take")
+    at = F.col("_own") + F.col("_before")
+    i = F.ceil(at * F.col("_take") / F.col("_n"))
+    return numbered.where((i < F.col("_take")) & (F.floor(i * F.col("_n") / F.col("_take")) == at)).select(*(f"r.{c}" for c in rows.columns))
 
 
 def allocate(sizes: dict, limit: int) -> dict:

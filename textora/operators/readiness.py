@@ -44,16 +44,19 @@ def date_consistency(text: Column) -> Column:
     return F.when(total >= LEAST_DATES, F.bround(F.greatest(*counts) / total * 100, 2))
 
 
-def text_signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, signal, value, status) of the signals that a document's text alone decides; nulls count as empty text."""
+def text_signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep, signal, value, status) of the signals that a document's text alone decides; nulls count as empty text.
+
+    keep: columns of docs that go with each row, so that nothing need be joined back; not with registered signals.
+    """
     text = tx.empty_as(F.col(text_col))
     measured = {
         "text_layer_present": F.when(F.trim(text) != "", 1.0).otherwise(0.0), "garbled_char_rate": garbled(text), "unmapped_glyphs": unmapped(text),
         "hyphenated_line_breaks": hyphenated(text), "date_format_consistency": date_consistency(text), "table_count": tables_in(text).cast("double"),
     }
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), v.cast("double").alias("value")) for k, v in measured.items()]))
-    out = docs.select(F.col(id_col).alias("doc_id"), rows.alias("s")).select("doc_id", "s.*")
-    for name, measure in REGISTERED.items():
+    out = docs.select(F.col(id_col).alias("doc_id"), *keep, rows.alias("s")).select("doc_id", *keep, "s.*")
+    for name, measure in ({} if keep else REGISTERED).items():
         out = out.unionByName(measure(docs).select("doc_id", F.lit(name).alias("signal"), F.col("value").cast("double")))
     return out.withColumn("status", F.when(F.col("value").isNull(), "not_applicable").otherwise("measured"))
 
@@ -118,15 +121,20 @@ def band(score: Column) -> Column:
 
 
 def scores(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, score, label, counted, excluded, low_confidence from rated signal rows; no row counted: no score."""
+    """keys, score, label, counted, excluded, low_confidence from rated signal rows; no row counted: no score.
+
+    Signals that the input cannot give have no row and are excluded like those that do not apply: the score is of low
+    confidence where less than half of all signals count.
+    """
+    total = len({name for name, *_ in fixed.SIGNALS} | set(REGISTERED))
     points = F.create_map(*[F.lit(x) for kv in fixed.RATING_POINTS.items() for x in kv])[F.col("rating")]
     counts = F.col("rating").isNotNull() & (F.col("weight") > 0)
     w = F.when(counts, F.col("weight").cast("decimal(10,4)"))
     out = rows.groupBy(*keys).agg(
-        F.sum(w * points.cast("decimal(4,2)")).alias("_p"), F.sum(w).alias("_w"), F.count(F.when(counts, 1)).alias("counted"), F.count("*").alias("_n")
+        F.sum(w * points.cast("decimal(4,2)")).alias("_p"), F.sum(w).alias("_w"), F.count(F.when(counts, 1)).alias("counted")
     )
     score = F.bround(F.col("_p").cast("double") / F.col("_w").cast("double") * 100, 1)
-    return out.select(*keys, score.alias("score"), band(score).alias("label"), "counted", (F.col("_n") - F.col("counted")).alias("excluded"), (F.col("counted") < F.col("_n") / 2).alias("low_confidence"))
+    return out.select(*keys, score.alias("score"), band(score).alias("label"), "counted", (F.lit(total).cast("long") - F.col("counted")).alias("excluded"), (F.col("counted") < total / 2).alias("low_confidence"))
 
 
 def distribution(rows: DataFrame) -> DataFrame:

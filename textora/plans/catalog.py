@@ -76,14 +76,15 @@ def _scores(read) -> DataFrame:
     return readiness.scores(readiness.rated(readiness.text_signals(read("documents"))), "doc_id")
 
 
-@query(f"WITH {_SIGNALS} SELECT source, count(*) AS documents, round(avg(score::DECIMAL(10,1)), 4)::DOUBLE AS score, count(CASE WHEN score >= 75 THEN 1 END) AS ready, count(CASE WHEN counted < n / 2 THEN 1 END) AS unsure FROM scores GROUP BY source")
+@query(f"WITH {_SIGNALS} SELECT source, count(*) AS documents, round(avg(score::DECIMAL(10,1)), 4)::DOUBLE AS score, count(CASE WHEN score >= 75 THEN 1 END) AS ready, count(CASE WHEN counted < {len(fixed.SIGNALS)} / 2 THEN 1 END) AS unsure FROM scores GROUP BY source")
 def readiness_by_source(read):
-    both = _scores(read).join(read("documents").select("doc_id", "source"), "doc_id")
+    signals = readiness.rated(readiness.text_signals(read("documents"), keep=("source",)))
+    both = readiness.scores(signals, "doc_id", "source")
     mean = F.round(F.avg(F.col("score").cast("decimal(10,1)")), 4).cast("double")
     return both.groupBy("source").agg(F.count("*").alias("documents"), mean.alias("score"), F.count(F.when(F.col("label") == "ready", 1)).alias("ready"), F.count(F.when(F.col("low_confidence"), 1)).alias("unsure"))
 
 
-@query(f"WITH {_SIGNALS} SELECT doc_id, score, {_BAND} AS label, counted, n - counted AS excluded, counted < n / 2 AS low_confidence FROM scores")
+@query(f"WITH {_SIGNALS} SELECT doc_id, score, {_BAND} AS label, counted, {len(fixed.SIGNALS)} - counted AS excluded, counted < {len(fixed.SIGNALS)} / 2 AS low_confidence FROM scores")
 def document_scores(read):
     return _scores(read)
 
@@ -436,8 +437,11 @@ def totals_by_language(read):
 
 
 def queries() -> dict[str, Query]:
+    from textora.plans import rollup_queries  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
