@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from textora.functions import checks, text as tx
-from textora.operators import chunks, compare, facts, governance, hidden, identifiers, layout
+from textora.operators import chunks, compare, facts, findings, governance, hidden, identifiers, layout
 from textora.plans import catalog
 from textora.sources import files
 from textora.streaming import events as streaming
@@ -171,3 +171,40 @@ def test_chunks_are_placed_one_after_another(spark):
     docs = spark.createDataFrame([(1, "ab ab cd")], "doc_id long, text string")
     made = spark.createDataFrame([(1, 0, "ab"), (1, 1, "ab"), (1, 2, "zz"), (1, 3, "cd")], "doc_id long, chunk int, text string")
     assert [(r.chunk, r.start) for r in chunks.placed(made, docs).orderBy("chunk").collect()] == [(0, 0), (1, 3), (2, None), (3, 6)]
+
+
+def test_values_stand_by_their_labels(spark):
+    pages = spark.createDataFrame([(1, "Invoice total due: EUR 1.234,50 by May"), (2, "Subtotal 1,234.50 " + "x " * 20), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "1234.50", "total due"), (2, "1234.50", None), (3, "99", "total")], "fact long, value string, label string")
+    got = {(r.fact, r.doc_id): r.found for r in findings.values_by_label(pages, asked).collect()}
+    assert got == {(1, 1): "exact", (1, 2): "fuzzy", (2, 1): "exact", (2, 2): "exact"}
+
+
+def test_passages_are_found_under_masks(spark):
+    dot = tx.MASK
+    pages = spark.createDataFrame([(1, f"write to {dot * 3}@example.org today"), (2, f"{dot * 30}"), (3, "no mask: bob@example.org"), (4, f"write to {dot * 3}@example.com")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "Bob@example.org"), (2, "")], "fact long, text string")
+    assert [(r.fact, r.doc_id) for r in findings.under_masks(pages, asked).collect()] == [(1, 1)]
+
+
+def test_markdown_hides_comments_and_references(spark):
+    text = "a <!-- one\ntwo --> b\n```\n<!-- code -->\n```\n`<!-- inline -->`\n[//]: # (a note)\n[x]: http://a.org\n<!-- -->"
+    got = one(spark, text, findings.markdown_hidden)
+    assert [(x.kind, x.text) for x in got] == [("comment", "one two"), ("reference", "a note")]
+
+
+def test_silent_finds_and_reports_of_failures(spark):
+    found = spark.createDataFrame([(1, "a", 0, 5), (1, "quiet", 3, 8), (1, "quiet", 300, 310), (2, "quiet", 0, 5)], "doc_id long, category string, start int, end int")
+    assert sorted(map(tuple, findings.silent_kept(found, ("quiet",)).collect())) == [(1, "a", 0, 5), (1, "quiet", 300, 310), (2, "quiet", 0, 5)]
+    failures = spark.createDataFrame([("r", "error", "b.txt", "2"), ("r", "error", "a.txt", "1")], "rule string, level string, subject string, detail string")
+    assert [r.text for r in findings.as_markdown(failures).collect()] == ["## r (error, 2)\n- a.txt: 1\n- b.txt: 2"]
+    assert '"ruleId":"r"' in findings.as_sarif(failures).first().result
+    assert {c[0]: c[1] for c in identifiers.overlaid(severity={"iban": "low"}, off=("password",))}["iban"] == "low"
+
+
+def test_labels_and_changes_of_files(spark):
+    files_ = spark.createDataFrame([("a", b"1"), ("b", b"2")], "path string, content binary")
+    seen = files.changed_since(files_, spark.createDataFrame([], "path string, digest string")).where("path = 'a'")
+    assert [r.path for r in files.changed_since(files_, seen).collect()] == ["b"]
+    docs, labels = spark.createDataFrame([(1,), (2,)], "doc_id long"), spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, quality int")
+    assert sorted(map(tuple, files.labelled(docs, labels).collect())) == [(1, 0), (2, None)]

@@ -124,13 +124,29 @@ IBAN_LENGTHS = {
     "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
 }
 
-#: Card prefixes (lowest, highest) and lengths (least, greatest, step).
+#: Card prefixes (lowest, highest) and lengths.
 CARD_ISSUERS = (
-    ("4", "4", 13, 19, 3), ("51", "55", 16, 16, 1), ("2221", "2720", 16, 16, 1), ("34", "34", 15, 15, 1), ("37", "37", 15, 15, 1), ("6011", "6011", 16, 19, 1),
-    ("644", "649", 16, 19, 1), ("65", "65", 16, 19, 1), ("300", "305", 14, 19, 1), ("36", "36", 14, 19, 1), ("38", "39", 14, 19, 1), ("3528", "3589", 16, 19, 1),
-    ("62", "62", 16, 19, 1), ("50", "50", 12, 19, 1), ("56", "69", 12, 19, 1), ("2200", "2204", 16, 19, 1), ("60", "60", 16, 16, 1), ("81", "82", 16, 16, 1),
-    ("508", "508", 16, 16, 1), ("1", "1", 15, 15, 1),
-)
+    ("4", "4", (13, 16, 19)),
+    ("51", "55", (16,)),
+    ("2221", "2720", (16,)),
+    ("34", "34", (15,)),
+    ("37", "37", (15,)),
+    ("6011", "6011", (16, 17, 18, 19)),
+    ("644", "649", (16, 17, 18, 19)),
+    ("65", "65", (16, 17, 18, 19)),
+    ("300", "305", (14, 15, 16, 17, 18, 19)),
+    ("36", "36", (14, 15, 16, 17, 18, 19)),
+    ("38", "39", (14, 15, 16, 17, 18, 19)),
+    ("3528", "3589", (16, 17, 18, 19)),
+    ("62", "62", (16, 17, 18, 19)),
+    ("50", "50", (12, 13, 14, 15, 16, 17, 18, 19)),
+    ("56", "69", (12, 13, 14, 15, 16, 17, 18, 19)),
+    ("2200", "2204", (16, 17, 18, 19)),
+    ("60", "60", (16,)),
+    ("81", "82", (16,)),
+    ("508", "508", (16,)),
+    ("1", "1", (15,)),
+)
 
 #: Shapes of a VAT number after its country code.
 EU_VAT = {
@@ -149,9 +165,29 @@ CALLING_CODES = (
 #: Odd-place values of the Italian tax code, for 0-9 and then A-Z.
 CODICE_ODD = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23)
 
-#: The Verhoeff scheme's product and permutation tables, row after row.
-VERHOEFF_PRODUCT = "0123456789" "1234067895" "2340178956" "3401289567" "4012395678" "5987604321" "6598710432" "7659821043" "8765932104" "9876543210"
-VERHOEFF_PERMUTATION = "0123456789" "1576283094" "5803796142" "8916043527" "9453126870" "4286573901" "2793806415" "7046913258"
+#: The Verhoeff scheme's product and permutation tables.
+VERHOEFF_PRODUCT = (
+    (0, 1, 2, 3, 4, 5, 6, 7, 8, 9),
+    (1, 2, 3, 4, 0, 6, 7, 8, 9, 5),
+    (2, 3, 4, 0, 1, 7, 8, 9, 5, 6),
+    (3, 4, 0, 1, 2, 8, 9, 5, 6, 7),
+    (4, 0, 1, 2, 3, 9, 5, 6, 7, 8),
+    (5, 9, 8, 7, 6, 0, 4, 3, 2, 1),
+    (6, 5, 9, 8, 7, 1, 0, 4, 3, 2),
+    (7, 6, 5, 9, 8, 2, 1, 0, 4, 3),
+    (8, 7, 6, 5, 9, 3, 2, 1, 0, 4),
+    (9, 8, 7, 6, 5, 4, 3, 2, 1, 0),
+)
+VERHOEFF_PERMUTATION = (
+    (0, 1, 2, 3, 4, 5, 6, 7, 8, 9),
+    (1, 5, 7, 6, 2, 8, 3, 0, 9, 4),
+    (5, 8, 0, 3, 7, 9, 6, 1, 4, 2),
+    (8, 9, 1, 6, 0, 4, 3, 5, 2, 7),
+    (9, 4, 5, 3, 1, 2, 6, 8, 7, 0),
+    (4, 2, 8, 6, 5, 7, 3, 9, 0, 1),
+    (2, 7, 9, 3, 8, 0, 6, 4, 1, 5),
+    (7, 0, 4, 6, 9, 1, 3, 2, 5, 8),
+)
 
 #: Date formats whose mixture makes dates ambiguous.
 DATE_FAMILIES = (

@@ -101,3 +101,9 @@ def results(facts: DataFrame, found: DataFrame, readers: DataFrame) -> DataFrame
     """
     hit = found.select("fact", "reader").distinct().withColumn("hit", F.lit(True))
     return facts.select("fact", "kind").crossJoin(F.broadcast(readers.select("reader").distinct())).join(hit, ["fact", "reader"], "left").select("fact", "reader", "kind", (F.coalesce("hit", F.lit(False)) != (F.col("kind") == "absent")).alias("passed"))
+
+
+def scores(checked: DataFrame) -> DataFrame:
+    """(reader, kind, passed, facts, share) of results(): how many facts of each kind a reader passes."""
+    out = checked.groupBy("reader", "kind").agg(F.count(F.when(F.col("passed"), 1)).alias("passed"), F.count("*").alias("facts"))
+    return out.withColumn("share", F.bround(F.col("passed") / F.col("facts"), 4))

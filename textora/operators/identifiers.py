@@ -198,6 +198,14 @@ def mask_text(pages: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: s
     return both.select(*(masked if c == text_col else F.col(f"p.`{c}`") for c in pages.columns))
 
 
+def overlaid(categories=fixed.CATEGORIES, severity: dict[str, str] | None = None, off: tuple[str, ...] = ()) -> tuple:
+    """categories with other severities, less those switched off; a name that no category has is an error."""
+    known = {c[0] for c in categories}
+    if unknown := {*(severity or {}), *off} - known:
+        raise ValueError(f"no such categories: {', '.join(sorted(unknown))}")
+    return tuple((c[0], (severity or {}).get(c[0], c[1]), *c[2:]) for c in categories if c[0] not in off)
+
+
 def exposure(found: DataFrame, keys: tuple[str, ...] = ("doc_id",), points: float = fixed.OVERALL["points_per_exposure"]) -> DataFrame:
     """keys, exposure (severity times evidence) and exposure_score, 100 less `points` for each."""
     weigh = lambda table, c: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[c]

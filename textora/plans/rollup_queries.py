@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textora.functions import text as tx
-from textora.operators import chunks, costs, facts, layout, rollups
+from textora.operators import chunks, costs, facts, findings, layout, rollups
 from textora.plans.catalog import _LINES, _SIGNALS, _chunks, _page_rows, _scores, query
 
 _ADDRESS = r"[a-zA-Z0-9._]+@[a-zA-Z0-9.]+"
@@ -204,15 +205,23 @@ def value_places(read):
     return facts.values_found(pages, read("part").select(F.col("p_partkey").alias("fact"), F.concat(F.lit("EUR "), grouped).alias("value")))
 
 
-@query("""WITH f AS (SELECT item_id AS fact, CASE item_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'value' ELSE 'absent' END AS kind FROM benchmark), r AS (SELECT DISTINCT lang AS reader FROM documents),
-h AS (SELECT DISTINCT doc_id % 40 AS fact, lang AS reader FROM documents WHERE doc_id % 5 = 0)
-SELECT f.fact, r.reader, kind, (h.fact IS NOT NULL) <> (kind = 'absent') AS passed FROM f CROSS JOIN r LEFT JOIN h ON h.fact = f.fact AND h.reader = r.reader""")
+_RESULTS = """WITH f AS (SELECT item_id AS fact, CASE item_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'value' ELSE 'absent' END AS kind FROM benchmark), r AS (SELECT DISTINCT lang AS reader FROM documents),
+h AS (SELECT DISTINCT doc_id % 40 AS fact, lang AS reader FROM documents WHERE doc_id % 5 = 0),
+res AS (SELECT f.fact, r.reader, kind, (h.fact IS NOT NULL) <> (kind = 'absent') AS passed FROM f CROSS JOIN r LEFT JOIN h ON h.fact = f.fact AND h.reader = r.reader)"""
+
+
+@query(f"{_RESULTS} SELECT * FROM res")
 def fact_results(read):
     kind = F.when(F.col("item_id") % 3 == 0, "text").when(F.col("item_id") % 3 == 1, "value").otherwise("absent")
     docs = read("documents")
     return facts.results(read("benchmark").select(F.col("item_id").alias("fact"), kind.alias("kind")), docs.where("doc_id % 5 = 0").select((F.col("doc_id") % 40).alias("fact"), F.col("lang").alias("reader")), docs.select(F.col("lang").alias("reader")))
 
 
+@query(f"{_RESULTS} SELECT reader, kind, count(CASE WHEN passed THEN 1 END) AS passed, count(*) AS facts, round_even(count(CASE WHEN passed THEN 1 END) / count(*), 4) AS share FROM res GROUP BY reader, kind")
+def fact_scores(read):
+    return facts.scores(fact_results(read))
+
+
 @query()
 def near_facts(read):
     return facts.near_texts(read("documents"), read("benchmark").select(F.col("item_id").alias("fact"), "text"))
@@ -233,3 +242,66 @@ def line_starts(read):
     docs = read("documents").where("text is not null")
     before = F.aggregate(F.slice(F.split("text", "\n"), F.lit(1), F.col("chunk")), F.lit(0).cast("long"), lambda a, y: a + F.length(y) + 1)
     return _chunks(read).select("doc_id", "chunk").join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "chunk", before.alias("line_start"))
+
+
+@query(r"""
+WITH p AS (SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) FILTER (turn % 2 = 0) AS kept, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS other FROM conversations GROUP BY conv_id),
+h AS (SELECT conv_id, word, count(*) AS n FROM (SELECT conv_id, unnest(regexp_extract_all(lower(coalesce(kept, '')), '[\p{L}\p{N}_]+')) AS word FROM p) GROUP BY ALL),
+w AS (SELECT conv_id, regexp_extract_all(lower(coalesce(other, '')), '[\p{L}\p{N}_]+') AS w FROM p),
+a AS (SELECT conv_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM w),
+i AS (SELECT *, row_number() OVER (PARTITION BY conv_id, word ORDER BY pos) AS i FROM a),
+m AS (SELECT i.conv_id, pos, i > coalesce(n, 0) AS gone FROM i LEFT JOIN h ON h.conv_id = i.conv_id AND h.word = i.word),
+r AS (SELECT *, sum(CASE WHEN gone THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY pos) AS run FROM m),
+g AS (SELECT conv_id, run, count(*) AS words, count(CASE WHEN gone THEN 1 END) AS missing FROM r GROUP BY ALL),
+s AS (SELECT conv_id, sum(words) AS words, sum(words) - sum(missing) AS found, max(missing) AS longest FROM g GROUP BY conv_id)
+SELECT p.conv_id AS doc_id, coalesce(words, 0)::BIGINT AS words, coalesce(found, 0)::BIGINT AS found, round_even(found / words, 4) AS coverage, coalesce(longest, 0)::BIGINT AS longest_missing FROM p LEFT JOIN s USING (conv_id)""")
+def missing_words(read):
+    rows = read("conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", tx.empty_as(F.col("text")).alias("t")))).alias("turns"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x["t"]), " ")
+    return findings.missing_words(rows.select("doc_id", joined(F.filter("turns", lambda x: x["turn"] % 2 == 0)).alias("kept"), joined(F.col("turns")).alias("other")))
+
+
+@query("""SELECT event_id, event_type FROM events WHERE event_type <> 'error' AND NOT (value < 100 AND event_id % 2 = 0)""")
+def significant_findings(read):
+    rows = read("events").select("event_id", "event_type", F.when(F.col("value") < 100, "low").otherwise("high").alias("severity"), F.when(F.col("event_id") % 2 == 0, "model").otherwise("pattern").alias("evidence"))
+    return findings.enabled(rows, "event_type", {"error": False}).where(findings.significant(F.col("severity"), F.col("evidence"))).select("event_id", "event_type")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY CASE WHEN value > 300 THEN 3 WHEN value > 100 THEN 2 ELSE 1 END DESC, user_id, event_id) AS place FROM events QUALIFY place <= 100")
+def worst_findings(read):
+    rows = read("events").select("event_id", "user_id", F.when(F.col("value") > 300, "high").when(F.col("value") > 100, "medium").otherwise("low").alias("severity"))
+    top = findings.worst_first(rows, "user_id", "event_id").limit(100)
+    return top.select("event_id", F.row_number().over(Window.orderBy(findings.severity_rank(F.col("severity")).desc(), "user_id", "event_id")).alias("place"))
+
+
+@query("""SELECT doc_id, replace(text, ' and ', ' ••• ') AS text FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 3 > 0 OR text IS NULL""")
+def carried_masks(read):
+    docs = read("documents").select("doc_id", F.lit(1).alias("page"), "text")
+    return findings.carried(docs, docs.where("doc_id % 3 = 0").select("doc_id", "page", F.lit(" and ").alias("value"))).select("doc_id", "text")
+
+
+@query(r"""
+WITH a AS (SELECT conv_id * 100 + turn AS item, coalesce(text, '') AS t FROM conversations WHERE turn % 3 > 0), b AS (SELECT conv_id * 100 + turn AS item, CASE WHEN turn % 2 = 0 THEN coalesce(text, '') || ' see HTTPS://Example.org/x' ELSE coalesce(text, '') END AS t FROM conversations WHERE turn % 5 > 0)
+SELECT coalesce(a.item, b.item) AS item, CASE WHEN a.item IS NULL THEN 'added' WHEN b.item IS NULL THEN 'dropped' WHEN a.t = b.t THEN 'same' ELSE 'changed' END AS change, round_even(length(a.t) / 4.0::DOUBLE, 0)::BIGINT AS tokens_before, round_even(length(b.t) / 4.0::DOUBLE, 0)::BIGINT AS tokens_after,
+coalesce(contains(b.t, 'HTTPS://Example.org'), false)::INTEGER AS hosts_added FROM a FULL JOIN b ON a.item = b.item""")
+def stage_changes(read):
+    rows = read("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("item"), "turn", tx.empty_as(F.col("text")).alias("text"))
+    seen = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" see HTTPS://Example.org/x"))).otherwise(F.col("text"))
+    out = findings.stage_changes(rows.where("turn % 3 > 0"), rows.where("turn % 5 > 0").withColumn("text", seen))
+    return out.withColumn("hosts_added", F.size("hosts_added"))
+
+
+@query("SELECT lang, count(DISTINCT source) AS source, count(DISTINCT n_chars) AS n_chars FROM documents GROUP BY lang")
+def distinct_counts(read):
+    return findings.distinct_counts(read("documents"), "lang", "source", "n_chars")
+
+
+@query(r"""SELECT page_id, len(list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?s)<!--(.*?)-->', 1), lambda c: trim(regexp_replace(c, '\s+', ' ', 'g'))), lambda c: c <> ''))::INTEGER AS n FROM (SELECT page_id, replace(html, '`', '') AS html FROM pages)""")
+def markdown_comments(read):
+    plain = F.replace(tx.empty_as(F.col("html")), F.lit("`"), F.lit(""))
+    return read("pages").select("page_id", F.size(F.filter(findings.markdown_hidden(plain), lambda x: x["kind"] == "comment")).alias("n"))
+
+
+@query("""SELECT event_type, list_transform(list_sort(list({'e': event_id, 'p': props})), lambda x: x.p[1:8])[1] AS first FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 3 GROUP BY event_type""")
+def first_previews(read):
+    return findings.previews(read("events"), "event_type", "event_id", "props", chars=8).select("event_type", F.get("previews", 0).alias("first"))

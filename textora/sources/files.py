@@ -125,3 +125,15 @@ def write_texts(rows: DataFrame, path: str) -> None:
 def routing_manifest(routed: DataFrame, key: str = "doc_id", page: str = "page") -> DataFrame:
     """(key, pages): each document with its pages in order, as structs of page, route and reason; JSON is df.write.json."""
     return routed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("page"), "route", "reason"))).alias("pages"))
+
+
+def changed_since(files: DataFrame, seen: DataFrame) -> DataFrame:
+    """The files whose content differs from what was read before under their path, with its digest; seen: path, digest."""
+    return files.withColumn("digest", F.sha2("content", 256)).join(seen.select("path", "digest"), ["path", "digest"], "left_anti")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with the columns of labels, null where a document has none; of several rows of labels for a key the least counts."""
+    more = [c for c in labels.columns if c != key]
+    one = labels.groupBy(key).agg(F.min(F.struct(*more)).alias("l")).select(key, *(F.col(f"l.{c}").alias(c) for c in more))
+    return docs.join(one, key, "left")
