@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from textora.llm import decontaminate, exact_dedup, line_dedup, mixing, ngram_join, quality, queries, secret_scan, substring_dedup, url_filter, warc
-from textora.llm._common import new_path, read
+from textora.llm._common import new_path, read, save
 
 WORD = re.compile(r"[^ \t-\r]+")
 
@@ -297,3 +297,46 @@ def test_ngram_join_of_a_large_group_of_edited_copies(spark):
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_classes(docs, n=4, threshold=(17, 20)).collect()}
     want = smallest(range(len(sets)), links)
     assert len(set(want.values())) > 20 and got == want
+
+
+def test_pipeline_equals_brute_force(spark, sf_dir):
+    """Every stage on what the one before kept of sf0.001: lines, near duplicates and benchmark against all pairs."""
+    stages = dict(corpus_pipeline.STAGES)
+    held = lambda df: {r.doc_id: r.text or "" for r in df.collect()}
+    docs = read(spark, sf_dir, "documents")
+    good = save(stages["quality"](spark, docs, sf_dir), "test-stage")
+    assert good.columns == docs.columns and 0 < good.count() < docs.count()
+
+    spots, plain = [], {}
+    for k, t in sorted(held(good).items()):
+        for i, x in enumerate(t.split("\n")):
+            if line := x.lower().strip(" \t\n\x0b\x0c\r"):
+                spots.append((k, i))
+                plain[k, i] = line
+    unique = sorted(set(plain.values()))
+    root = smallest(range(len(unique)), char_links(unique))
+    first = {}
+    for at in spots:
+        first.setdefault(root[unique.index(plain[at])], at)
+    want = {}
+    for k, t in held(good).items():
+        lines = t.split("\n")
+        kept = [x for i, x in enumerate(lines) if (k, i) not in plain or first[root[unique.index(plain[k, i])]] == (k, i)]
+        if len(kept) == len(lines) or any(x.strip() for x in kept):
+            want[k] = "\n".join(kept)
+    left = save(stages["lines"](spark, good, sf_dir), "test-stage")
+    assert held(left) == want and all(r.n_chars == len(r.text or "") for r in left.collect())
+
+    words = {k: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t)) for k, t in want.items()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for k, w in words.items()}
+    near = smallest(sets, [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+    alone = save(stages["near duplicates"](spark, left, sf_dir), "test-stage")
+    assert set(held(alone)) == {k for k, v in near.items() if k == v}
+
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\W_]+", t.lower())] for i in range(len(w) - 4)}
+    items = [g for r in read(spark, sf_dir, "benchmark").collect() if (g := grams(r.text or ""))]
+    clean = save(stages["benchmark"](spark, alone, sf_dir), "test-stage")
+    assert set(held(clean)) == {k for k, t in held(alone).items() if not any(5 * len(g & grams(t)) >= 4 * len(g) for g in items)}
+
+    mixed = stages["mix"](spark, clean, sf_dir).collect()
+    assert {r.doc_id for r in mixed} == set(held(clean)) and all(r.taken == r.copies * r["size"] for r in mixed)
