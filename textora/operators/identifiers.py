@@ -98,9 +98,9 @@ def nearby_term(categories) -> Column:
     here, both = F.substring_index("reach", "\n", -1), F.substring_index("reach", "\n", -2)
     left = F.when(here.rlike(r"\p{L}{2}"), here).otherwise(F.translate(both, "\n", " "))
     around = _marked(F.lower(F.concat_ws(" ", left, F.substring_index("after", "\n", 1))))
-    term = lambda t: F.struct(F.lit(t).alias("term"), _marked(F.lit(t.lower().strip())).alias("marked"))
-    listed = F.create_map(*[x for c in categories if c[4] for x in (F.lit(c[0]), F.array(*map(term, c[4])))])
-    return F.get(F.filter(F.element_at(listed, F.col("category")), lambda t: around.contains(t["marked"])), 0)["term"]
+    edges = lambda t: re.sub(r"(?<=[^\W_])(?![^\W_])|(?<![^\W_])(?=[^\W_])", EDGE, t.lower().strip())
+    first = lambda a, c: F.coalesce(*[F.when(a.contains(edges(t)), t) for t in c[4]])
+    return F.transform(F.array(around), lambda a: _by_category({c[0]: first(a, c) for c in categories if c[4]}, F.lit(None).cast("string")))[0]
 
 
 def _part_of_more() -> Column:
