@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textora.llm import decontaminate, exact_dedup, line_dedup, mixing, ngram_join, quality, secret_scan, substring_dedup, url_filter, warc
+from textora.llm import decontaminate, exact_dedup, infill, line_dedup, mixing, ngram_join, quality, secret_scan, substring_dedup, token_shards, url_filter, vector_codes, warc
 from textora.llm._common import new_path, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,10 +79,32 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(read(spark, sf_dir, "pages"), URL_RULES).drop("component")
 
 
+def op11_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read back by its key from the token shards written; nulls and repeats as write_tokens() says."""
+    import public_tokenizers
+
+    docs, uri = read(spark, sf_dir, "documents"), new_path(spark, "tokens")
+    token_shards.write_tokens(docs, uri, public_tokenizers.path("byte_bpe_50k.json"))
+    token_shards.build_index(spark, uri)
+    return token_shards.fetch(docs.select("doc_id"), uri)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cut and digests of the output and of the text restored from it; nulls as fill_in_middle() says."""
+    made = infill.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector kept with its code, errors and the digest of the codebooks; nulls and ties as product_codes() says."""
+    return vector_codes.product_codes(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    named = (op1_entropy_mix, op2_decontaminate, op3_exact_dedup, op4_line_dedup, op5_ngram_join, op6_substring_dedup, op7_secret_scan, op8_quality, op9_warc, op10_url_filter)
+    named = (op1_entropy_mix, op2_decontaminate, op3_exact_dedup, op4_line_dedup, op5_ngram_join, op6_substring_dedup, op7_secret_scan, op8_quality, op9_warc, op10_url_filter, op11_token_shards, op12_fill_in_middle, op13_vector_codes)
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
@@ -118,6 +140,29 @@ SELECT d.doc_id,
 FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
 
 
+def _codes_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds as one chain of tables; distances of so small integers are exact in doubles."""
+    steps = ""
+    for k in range(rounds + 1):
+        steps += f"""
+a{k} AS MATERIALIZED (SELECT p.r, p.part, p.x, min((p.q + c.q - 2 * list_inner_product(p.d, c.d)) * 1024 + c.entry) AS best FROM p JOIN c{k} c ON p.part = c.part GROUP BY p.r, p.part, p.x),"""
+        if k < rounds:
+            steps += f"""
+m{k} AS (SELECT part, entry, list(m ORDER BY pos) AS x FROM (SELECT part, best % 1024 AS entry, pos, CAST(floor(sum(v) / count(*)) AS BIGINT) AS m
+  FROM (SELECT part, CAST(best AS BIGINT) AS best, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS pos FROM a{k}) GROUP BY part, best % 1024, pos) GROUP BY part, entry),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, x, CAST(x AS DOUBLE[]) AS d, list_inner_product(CAST(x AS DOUBLE[]), CAST(x AS DOUBLE[])) AS q
+  FROM (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m ON c.part = m.part AND c.entry = m.entry)),"""
+    return f"""
+WITH k AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT *, CAST(x AS DOUBLE[]) AS d, list_inner_product(CAST(x AS DOUBLE[]), CAST(x AS DOUBLE[])) AS q
+  FROM (SELECT r, vec_id, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS x FROM k, range(4) t(part))),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x, d, q FROM p WHERE r IN (SELECT r FROM k ORDER BY vec_id LIMIT 256)),{steps}
+e AS (SELECT r, string_agg(printf('%02x', CAST(best AS BIGINT) % 1024), '' ORDER BY part) AS code, CAST(sum(CAST(best AS BIGINT) // 1024) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, label, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256 FROM k JOIN e USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
@@ -143,6 +188,16 @@ SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (g ORDER BY doc_id) = 1 AS kept, sha256({_NORMAL}) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY {_NORMAL})""",
         "op7_secret_scan": _secrets_sql(),
+        "op12_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || doc_id) AS h FROM documents),
+u AS (SELECT *, len(l) AS n, [CAST(('0x' || substr(h, 8 * k + 1, 8)) AS BIGINT) for k in range(4)] AS draw FROM d),
+f AS (SELECT *, least(draw[1] % (n + 1), draw[2] % (n + 1)) AS a, greatest(draw[1] % (n + 1), draw[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR draw[3] % 100 >= 100 THEN 'plain' WHEN draw[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+s AS (SELECT *, array_to_string(l[1:a], '') AS p, array_to_string(l[a+1:b], '') AS m, array_to_string(l[b+1:n], '') AS q FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || q || '<M>' || m ELSE '<S>' || q || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM s""",
+        "op13_vector_codes": _codes_sql(),
         # The tables hold no canonical link and no refresh redirect, so no URL has an alias whose verdict could reach it.
         "op10_url_filter": rf"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
