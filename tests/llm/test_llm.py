@@ -340,3 +340,24 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
 
     mixed = stages["mix"](spark, clean, sf_dir).collect()
     assert {r.doc_id for r in mixed} == set(held(clean)) and all(r.taken == r.copies * r["size"] for r in mixed)
+
+
+def test_rules_see_the_url_as_given(spark):
+    """A mark of a fragment before the host cuts no rule off; aliases are still told without fragments."""
+    plain = [(1, "http#x://example.org/es/1", ""), (2, "/page#see http://a.org/x", ""), (3, "http://b.com/fr/#http://example.org/es/", "")]
+    linked = [*plain, (4, "http://c.net/a#top", '<link rel="canonical" href="http://example.org/es/z#y">'), (5, "http://c.net/a#end", None)]
+    want = {1: ("example.org", "/es/1", "example.org/es/", "block"), 2: ("a.org", "/x", "org/", "allow"), 3: ("b.com", "/fr/", "com/fr/", "allow"), 4: ("c.net", "/a", None, "block"), 5: ("c.net", "/a", None, "block")}
+    for rows in (plain, linked):
+        got = url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.URL_RULES).collect()
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {k: want[k] for k, *_ in rows}
+
+
+def test_long_words_that_swap_bytes_differ(spark):
+    """Words whose bytes stand a whole block of places apart from each other's have no shingle in common."""
+    word = list("ab" * 4096)
+    word[0], word[4096] = "x", "y"
+    other = list(word)
+    other[0], other[4096] = "y", "x"
+    rows = [(1, f"{''.join(word)} b c d"), (2, f"{''.join(other)} b c d"), (3, f"{''.join(word)} b c d")]
+    got = ngram_join.ngram_classes(spark.createDataFrame(rows, "doc_id long, text string"), n=4, threshold=(17, 20)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}

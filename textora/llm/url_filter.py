@@ -80,25 +80,23 @@ def rule_for(urls: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFram
 def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: id, host, path, rule, verdict, component (smallest alias, null without aliases).
 
-    A null URL, or one without "://", has empty host and path, fits no rule, and is allowed. Null html has no links.
+    Rules look at URLs as given; fragments are cut only to tell aliases. A null URL, or one without "://", has empty host and path, fits no rule, and is allowed. Null html has no links.
     Repeated rows are judged each on its own and alike; other columns of pages are not looked at.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(url), F.lit("")).alias("given"))
     edges = save(alias_edges(pages, url, html), "aliases")
     linked = edges.limit(1).count() > 0
-    base = F.regexp_replace(F.coalesce("url", F.lit("")), r"(?s)#.*$", "")
-    rows = rows.withColumn("alias", base)
-    urls = rows.select(F.col("alias").alias("url"))
+    urls = rows.select(F.col("given").alias("url"))
     if linked:
         urls = urls.union(edges.select("src")).union(edges.select("dst"))
-    ruled = rule_for(urls.distinct(), rules)
+    ruled = rule_for(urls.distinct(), rules).withColumn("alias", F.regexp_replace("url", r"(?s)#.*$", ""))
     if linked:
         parts = save(connected_components(edges), "url-components")
-        ruled = save(ruled.join(parts.select(F.col("node").alias("url"), "component"), "url", "left"), "url-rules")
+        ruled = save(ruled.join(parts.select(F.col("node").alias("alias"), "component"), "alias", "left"), "url-rules")
         blocked = ruled.where("component is not null and rule_verdict = 'block'").select("component").distinct()
         ruled = ruled.join(small(save(blocked, "url-blocked")).withColumn("reached", F.lit(True)), "component", "left")
     else:
         ruled = ruled.withColumns({"component": F.lit(None).cast("string"), "reached": F.lit(False)})
     verdict = F.coalesce("rule_verdict", F.when(F.col("reached"), "block").otherwise("allow"))
-    judged = ruled.select(F.col("url").alias("alias"), "rule", verdict.alias("verdict"), "component")
-    return rows.join(judged, "alias").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", "verdict", "component")
+    judged = ruled.select(F.col("url").alias("given"), "rule", verdict.alias("verdict"), "component")
+    return rows.join(judged, "given").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", "verdict", "component")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,7 @@ CHUNK = 2 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = _rng.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = _rng.integers(1, 2**63, BLOCK := 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROW = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -96,8 +97,10 @@ def _chunk(first: int, raw: np.ndarray, begin: np.ndarray) -> Words:
     if len(start):
         lead = start[0]
         place = np.arange(lead, len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw))))
-        value = np.add.reduceat(_BYTE[raw[lead:]] * _PLACE[place & 4095], start - lead)
+        value = np.add.reduceat(_BYTE[raw[lead:]] * _PLACE[place & (BLOCK - 1)], start - lead)
         value = mix(value ^ (end - start).astype(np.uint64))
+        for i in np.flatnonzero(end - start > BLOCK):  # a place beyond the block would count as one within it
+            value[i] = np.frombuffer(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
     else:
         value = np.empty(0, np.uint64)
     return Words(first, n, raw, begin, start, end, bounds, value)
