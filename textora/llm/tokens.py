@@ -52,13 +52,13 @@ def pieces(text: str) -> list[str]:
 
 
 class Kept:
-    """Ids of pieces, each asked for with `lead` before it. Of two generations the older goes when the younger is full."""
+    """Ids of pieces by their strings. Of two generations the older goes when the younger is full."""
 
-    def __init__(self, lead: str, encode: Callable[[list[str]], list[bytes]]) -> None:
-        self.lead, self.encode, self.young, self.old = lead, encode, {}, {}
+    def __init__(self, solid: bool, encode: Callable[[list[str]], list[bytes]]) -> None:
+        self.solid, self.encode, self.young, self.old = solid, encode, {}, {}
 
     def ids(self, parts: list[str]) -> bytes | None:
-        """The ids of all parts in order. With a lead, None if one of them does not begin and end with a solid character."""
+        """The ids of all parts in order. If they must be solid, None if one of them does not begin and end with a solid character."""
         try:
             return b"".join(map(self.young.__getitem__, parts))
         except KeyError:
@@ -67,10 +67,10 @@ class Kept:
         if len(self.young) + len(missing) > KEPT:
             self.young, self.old, missing = {}, self.young, set(parts)
         new = [w for w in missing if w not in self.old]
-        if self.lead and not all(w and _solid(w[0]) and _solid(w[-1]) for w in new):
+        if self.solid and not all(w and _solid(w[0]) and _solid(w[-1]) for w in new):
             return None
         self.young.update((w, self.old[w]) for w in missing if w in self.old)
-        self.young.update(zip(new, self.encode([self.lead + w for w in new]), strict=True))
+        self.young.update(zip(new, self.encode(new), strict=True))
         return b"".join(map(self.young.__getitem__, parts))
 
 
@@ -89,11 +89,37 @@ class Encoder:
             made = json.load(f)
         split = made.get("pre_tokenizer") or {}
         self.apart = made.get("normalizer") is None and (split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) == ("ByteLevel", True, False)
-        self.spaced, self.other = Kept(" ", self._encode), Kept("", self._encode)
+        self.spaced, self.other = Kept(True, self._spaced), Kept(False, self._encode)
+        self.model, self.tails = self.tokenizer.model, {}
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        odd = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}  # what stands for a byte in a byte-level vocabulary
+        self.space, self.latin = odd[32], {c: "".join(odd.get(b, chr(b)) for b in chr(c).encode()) for c in range(128, 0x250)}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with a space before it. The pattern keeps a space and letters together, and marks after them, so
+        that such words go to the merges straight away; letters are those of old Latin blocks, on which all agree."""
+        out, rest, merges, code, space = [], [], self.model.tokenize, self.code, self.space
+        for word in words:
+            core = word if word.isalpha() else word.rstrip(string.punctuation)
+            if not core.isalpha() or not (plain := core.isascii()) and max(core) > "\u024f":
+                rest.append(f" {word}")
+                out.append(None)
+                continue
+            ids = array(code, [t.id for t in merges(space + (core if plain else core.translate(self.latin)))]).tobytes()
+            out.append(ids if core is word else ids + self._tail(word[len(core) :]))
+        found = iter(self._encode(rest))
+        return [next(found) if ids is None else ids for ids in out]
+
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) > KEPT:
+                self.tails.clear()
+            self.tails[marks] = self._encode([marks])[0]
+        return self.tails[marks]
+
     def encode(self, text: str) -> bytes:
         """The ids of a whole text."""
         if not self.apart:
