@@ -1,21 +1,18 @@
 """Expected facts: texts, values and absences, looked for in each reading of a document.
 
 A fact is found exactly where its plain form stands in a page, nearly where a window of about as many words is almost the
-same. Only pages that share enough of a fact's character trigrams are compared word by word, by a small difflib helper.
+same (near.py).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textora.functions import text as tx
+from textora.operators import near
 
-#: Similarity from which a passage is nearly the fact.
-NEARLY = 0.9
+NEARLY = near.NEARLY
 #: Numbers in any grouping; the group is a space, a point, a comma or an apostrophe.
 NUMBER = r"(?<![\d.,])(?:\d{1,3}([   .,'’])\d{3}(?:\1\d{3})*(?:[.,]\d+)?|\d+(?:[.,]\d+)?)(?!\d)"
 
@@ -48,40 +45,9 @@ def numbers_in(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(NUMBER), 0), lambda t: F.struct(t.alias("token"), readings(t).alias("values")))
 
 
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The best ratio of a fact with any window of one word less, as many, or one more than it has."""
-    from difflib import SequenceMatcher
-
-    for b in batches:
-        best = []
-        for fact, page in zip(b.column("what").to_pylist(), b.column("body").to_pylist(), strict=True):
-            m, words, size, top = SequenceMatcher(autojunk=False), page.split(), len(fact.split()), 0.0
-            m.set_seq2(fact)
-            for width in {max(1, size - 1), size, size + 1}:
-                for i in range(max(1, len(words) - width + 1)):
-                    m.set_seq1(" ".join(words[i : i + width]))
-                    if m.real_quick_ratio() > top and m.quick_ratio() > top:
-                        top = max(top, m.ratio())
-            best.append(round(top, 4))
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("fact", "page_key")), pa.array(best, pa.float64())], names=["fact", "page_key", "score"])
-
-
 def near_texts(pages: DataFrame, facts: DataFrame, key: str = "doc_id", least: float = NEARLY) -> DataFrame:
-    """(fact, key, score) of the facts (fact, text) that stand nearly in pages (key, text): ratio of `least` at least.
-
-    A window with a ratio r shares most of a fact's trigrams, so pages are met by the fact's trigrams, counted per page;
-    those with half of them are compared. Exact finds have score 1. Facts of fewer than three characters are not nearly found.
-    """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
-    want = facts.select("fact", plain(F.col("text")).alias("what")).where(F.length("what") >= 3)
-    body = pages.select(key, plain(tx.empty_as(F.col("text"))).alias("body")).withColumn("page_key", F.xxhash64(F.col(key), F.col("body")))
-    asked = want.select("fact", F.explode(grams(F.col("what"))).alias("gram"))
-    size = asked.groupBy("fact").agg(F.count("*").alias("size"))
-    held = body.where(F.length("body") >= 3).select("page_key", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"(?s)(?=(.{3}))"), 1))).alias("gram"))
-    met = held.join(asked, "gram").groupBy("fact", "page_key").agg(F.count("*").alias("n")).join(size, "fact").where("2 * n >= size").select("fact", "page_key")
-    both = met.join(body, "page_key").join(want, "fact")
-    scored = both.select("fact", "page_key", "what", "body").mapInArrow(_nearest, f"fact {dict(facts.dtypes)['fact']}, page_key bigint, score double").where(F.col("score") >= least)
-    return scored.join(body.select(key, "page_key"), "page_key").select("fact", key, "score").distinct()
+    """(fact, key, score) of the facts (fact, text) that stand in pages (key, text) exactly or nearly, as near_scores() finds them."""
+    return near.near_scores(pages, facts, key, least).select("fact", key, "score")
 
 
 def values_found(pages: DataFrame, facts: DataFrame, key: str = "doc_id") -> DataFrame:
