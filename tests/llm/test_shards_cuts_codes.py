@@ -46,6 +46,10 @@ def test_pieces_have_the_ids_of_the_whole(whole, monkeypatch):
     for text in [*drawn, "", " ", "  a", "a  ", "\n a\n", "<|endoftext|> <|endoftext|>"]:
         assert np.frombuffer(made.encode(text), "<u2").tolist() == whole(text)
         assert "".join(tokens.pieces(text)) == "".join(tokens.slices(text, 7)) == text
+    monkeypatch.setattr(tokens, "TOGETHER", 90)
+    assert [np.frombuffer(x, "<u2").tolist() for x in made.encode_all(drawn)] == [whole(text) for text in drawn]
+    monkeypatch.setattr(tokens, "SLICE", 20)
+    assert [np.frombuffer(x, "<u2").tolist() for x in made.encode_all(drawn)] == [whole(text) for text in drawn]
     monkeypatch.setattr(tokens, "slices", lambda text, f=tokens.slices: f(text, 11))
     assert all(np.frombuffer(made.encode(text), "<u2").tolist() == whole(text) for text in drawn)
 

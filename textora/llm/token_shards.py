@@ -82,7 +82,8 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, id_col: str = "doc_i
             made.append({"shard": out, "records": len(ends), "ids": ends[-1], "width": encode.width})
 
         for batch in batches:
-            for shard, doc_id, body in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            bodies = (x.as_py() for x in batch.column("text"))
+            for shard, doc_id, encoded in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), encode.encode_all(bodies), strict=True):
                 if shard != out:
                     if out is not None:
                         close()
@@ -90,9 +91,9 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, id_col: str = "doc_i
                     fs, base = pafs.FileSystem.from_uri(uri)
                     fs.create_dir(f"{base}/_temporary", recursive=True)
                     stream = fs.open_output_stream(temp := f"{base}/_temporary/{name}.bin.{uuid.uuid4().hex}")
-                held = encode.encode(body.as_py()) + end
-                stream.write(held)
-                at += len(held) // encode.width
+                stream.write(encoded)
+                stream.write(end)
+                at += len(encoded) // encode.width + 1
                 ids.append(doc_id)
                 ends.append(at)
         if out is not None:

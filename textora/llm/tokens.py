@@ -15,8 +15,12 @@ from array import array
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
-#: Pieces after which those not used since are forgotten, and characters of a text that are worked on together.
-KEPT, SLICE = 1 << 18, 1 << 20
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Pieces after which those not used since are forgotten, characters of a text that are worked on at a time, and of texts together.
+KEPT, SLICE, TOGETHER = 1 << 18, 1 << 20, 16 << 20
 _MARKS = frozenset(string.punctuation)
 
 
@@ -54,24 +58,26 @@ def pieces(text: str) -> list[str]:
 class Kept:
     """Ids of pieces by their strings. Of two generations the older goes when the younger is full."""
 
-    def __init__(self, solid: bool, encode: Callable[[list[str]], list[bytes]]) -> None:
-        self.solid, self.encode, self.young, self.old = solid, encode, {}, {}
-
-    def ids(self, parts: list[str]) -> bytes | None:
-        """The ids of all parts in order. If they must be solid, None if one of them does not begin and end with a solid character."""
-        try:
-            return b"".join(map(self.young.__getitem__, parts))
-        except KeyError:
-            pass
-        missing = set(parts).difference(self.young)
-        if len(self.young) + len(missing) > KEPT:
-            self.young, self.old, missing = {}, self.young, set(parts)
-        new = [w for w in missing if w not in self.old]
-        if self.solid and not all(w and _solid(w[0]) and _solid(w[-1]) for w in new):
-            return None
-        self.young.update((w, self.old[w]) for w in missing if w in self.old)
-        self.young.update(zip(new, self.encode(new), strict=True))
-        return b"".join(map(self.young.__getitem__, parts))
+    def __init__(self, encode: Callable[[list[str]], list[bytes | None]]) -> None:
+        self.encode, self.young, self.old = encode, {}, {}
+
+    def get(self, part: str) -> bytes | None:
+        return self.young.get(part) or self.old.get(part)
+
+    def each(self, parts: list[str]) -> list[bytes | None]:
+        """The ids of each part, None where encode() gives none."""
+        out = list(map(self.young.get, parts))
+        gaps = [i for i, ids in enumerate(out) if ids is None]
+        if gaps:
+            if len(self.young) > KEPT:
+                self.young, self.old = {}, self.young
+            missing = dict.fromkeys([parts[i] for i in gaps])
+            new = [w for w in missing if w not in self.old]
+            made = dict(zip(new, self.encode(new), strict=True)) | {w: self.old[w] for w in missing if w in self.old}
+            for i in gaps:
+                out[i] = made[parts[i]]
+            self.young.update(made)
+        return out
 
 
 class Encoder:
@@ -89,7 +95,7 @@ class Encoder:
             made = json.load(f)
         split = made.get("pre_tokenizer") or {}
         self.apart = made.get("normalizer") is None and (split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) == ("ByteLevel", True, False)
-        self.spaced, self.other = Kept(True, self._spaced), Kept(False, self._encode)
+        self.spaced, self.other = Kept(self._spaced), Kept(self._encode)
         self.model, self.tails = self.tokenizer.model, {}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         odd = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}  # what stands for a byte in a byte-level vocabulary
@@ -98,20 +104,27 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of words, each with a space before it. The pattern keeps a space and letters together, and marks after them, so
-        that such words go to the merges straight away; letters are those of old Latin blocks, on which all agree."""
+    def _spaced(self, words: list[str]) -> list[bytes | None]:
+        """Ids of words, each with a space before it; None for those that do not begin and end with a solid character.
+
+        The pattern keeps a space and letters together, and marks after them, so that such words go to the merges straight
+        away; letters are those of old Latin blocks, on which all agree.
+        """
         out, rest, merges, code, space = [], [], self.model.tokenize, self.code, self.space
-        for word in words:
+        for i, word in enumerate(words):
             core = word if word.isalpha() else word.rstrip(string.punctuation)
             if not core.isalpha() or not (plain := core.isascii()) and max(core) > "\u024f":
-                rest.append(f" {word}")
+                if word and _solid(word[0]) and _solid(word[-1]):
+                    rest.append(i)
                 out.append(None)
                 continue
-            ids = array(code, [t.id for t in merges(space + (core if plain else core.translate(self.latin)))]).tobytes()
+            ids = None if core is word else self.spaced.get(core)
+            if ids is None:
+                ids = array(code, [t.id for t in merges(space + (core if plain else core.translate(self.latin)))]).tobytes()
             out.append(ids if core is word else ids + self._tail(word[len(core) :]))
-        found = iter(self._encode(rest))
-        return [next(found) if ids is None else ids for ids in out]
+        for i, ids in zip(rest, self._encode([f" {words[i]}" for i in rest]) if rest else (), strict=True):
+            out[i] = ids
+        return out
 
     def _tail(self, marks: str) -> bytes:
         if marks not in self.tails:
@@ -124,12 +137,50 @@ class Encoder:
         """The ids of a whole text."""
         if not self.apart:
             return self._encode([text])[0]
-        out = []
-        for part in slices(text):
-            head, *words = part.split(" ")
-            ids = self.spaced.ids(words) if not head or _solid(head[-1]) else None
-            out.append(self.other.ids(pieces(part)) if ids is None else self.other.ids([head]) + ids)
-        return b"".join(out)
+        return b"".join(self._together(list(slices(text))))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text. Texts are taken together up to TOGETHER characters, so that a piece is looked up once."""
+        held, size = [], 0
+        for text in texts:
+            if not self.apart or len(text) > SLICE:
+                yield from self._together(held)
+                yield self.encode(text)
+                held, size = [], 0
+                continue
+            held.append(text)
+            size += len(text)
+            if size > TOGETHER:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Texts split at spaces; the ids of their distinct pieces are laid out in order of the pieces."""
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        ids = [x or b"" for x in self.spaced.each(coded.dictionary.to_pylist())]
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        flat, begin = np.frombuffer(b"".join(ids), f"<u{self.width}"), np.cumsum(n) - n
+        piece, bound = coded.indices.to_numpy(), split.offsets.to_numpy()
+        to = np.concatenate([[0], np.cumsum(n[piece])])
+        laid = np.empty(to[-1], flat.dtype)
+        for a in range(0, len(piece), 1 << 17):  # a part at a time bounds what the places take
+            part = piece[a : a + (1 << 17)]
+            size = n[part]
+            first, last = to[a], to[a + len(part)]
+            laid[first:last] = flat[np.repeat(begin[part] - (to[a : a + len(part)] - first), size) + np.arange(last - first)]
+        strange = np.concatenate([[0], np.cumsum(n[piece] == 0)])  # pieces that encode() gave nothing for
+        heads = [t if b == a + 1 else t[: t.index(" ")] for t, a, b in zip(texts, bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
+        out, raw = [], memoryview(laid.tobytes())
+        for text, head, lead, a, b in zip(texts, heads, self.other.each(heads), bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+            if strange[b] > strange[a + 1] or head and b > a + 1 and not _solid(head[-1]):
+                out.append(b"".join(self.other.each(pieces(text))))
+            else:
+                out.append(lead + raw[to[a + 1] * self.width : to[b] * self.width])
+        return out
 
 
 @functools.lru_cache(maxsize=2)
