@@ -157,18 +157,12 @@ def smuggled(text: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def reading_similarity(a, b):
-    """How closely two readings agree word by word, in order: 2 * matched / all, of all their words."""
-    import difflib
-
+    """How closely two readings agree word by word, in order: 2 * matched / all, of all their words (align.py)."""
     import pandas as pd
 
-    def one(x: str | None, y: str | None) -> float:
-        u, v = (x or "").split(), (y or "").split()
-        if u == v:
-            return 1.0
-        return round(difflib.SequenceMatcher(None, u, v, autojunk=False).ratio(), 4) if u and v else 0.0
+    from textora.functions.align import similarity
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+    return pd.Series([similarity((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)])
 
 
 @F.pandas_udf(StringType())

@@ -63,10 +63,13 @@ def values_found(pages: DataFrame, facts: DataFrame, key: str = "doc_id") -> Dat
 def results(facts: DataFrame, found: DataFrame, readers: DataFrame) -> DataFrame:
     """(fact, reader, kind, passed): a text or value passes where it was found in a reading, an absence where it was not.
 
-    facts: fact, kind (text, value, absent); found: fact, reader; readers: reader, the few loaders compared.
+    facts: fact, kind (text, value, absent); found: fact, reader; readers: reader, the loaders compared. A null reader is a
+    reader like others. The result has a row for each fact and reader, so the two tables are crossed.
     """
-    hit = found.select("fact", "reader").distinct().withColumn("hit", F.lit(True))
-    return facts.select("fact", "kind").crossJoin(F.broadcast(readers.select("reader").distinct())).join(hit, ["fact", "reader"], "left").select("fact", "reader", "kind", (F.coalesce("hit", F.lit(False)) != (F.col("kind") == "absent")).alias("passed"))
+    hit = found.select("fact", "reader").distinct().withColumn("hit", F.lit(True)).alias("h")
+    both = facts.select("fact", "kind").crossJoin(readers.select("reader").distinct()).alias("b")
+    same = (F.col("b.fact") == F.col("h.fact")) & F.col("b.reader").eqNullSafe(F.col("h.reader"))
+    return both.join(hit, same, "left").select("b.fact", "b.reader", "b.kind", (F.coalesce("hit", F.lit(False)) != (F.col("b.kind") == "absent")).alias("passed"))
 
 
 def scores(checked: DataFrame) -> DataFrame:

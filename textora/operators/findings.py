@@ -62,13 +62,16 @@ def missing_words(pages: DataFrame, key: str = "doc_id", kept: str = "kept", oth
 def carried(readings: DataFrame, values: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"), text_col: str = "text") -> DataFrame:
     """readings with every value that any reading of the same page was found to hold masked, longer values first.
 
-    values: keys, value. What a page was found to hold is bounded by the page; nulls are left out.
+    values: keys, value. What a page was found to hold is bounded by the page; null values are left out, null keys are keys
+    like others.
     """
     held = values.where("value is not null and value <> ''").groupBy(*keys).agg(F.collect_set("value").alias("_v"))
     longest = F.array_sort("_v", lambda a, b: F.length(b) - F.length(a))
     lay = lambda t, v: F.replace(t, v, F.regexp_replace(v, r"\S", tx.MASK))
-    both = readings.join(held, list(keys), "left")
-    return both.withColumn(text_col, F.when(F.col("_v").isNull(), F.col(text_col)).otherwise(F.aggregate(longest, F.col(text_col), lay))).drop("_v")
+    same = reduce(lambda x, y: x & y, (F.col(f"r.`{k}`").eqNullSafe(F.col(f"h.`{k}`")) for k in keys))
+    text = F.col(f"r.`{text_col}`")
+    masked = F.when(F.col("_v").isNull(), text).otherwise(F.aggregate(longest, text, lay)).alias(text_col)
+    return readings.alias("r").join(held.alias("h"), same, "left").select(*(masked if c == text_col else F.col(f"r.`{c}`") for c in readings.columns))
 
 
 def values_by_label(pages: DataFrame, asked: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -79,7 +82,7 @@ def values_by_label(pages: DataFrame, asked: DataFrame, key: str = "doc_id") ->
     """
     met = facts.values_found(pages, asked, key).join(asked, "fact").join(pages.select(key, facts.plain(tx.empty_as(F.col("text"))).alias("body")), key)
     after = F.split(F.col("body"), F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), facts.plain(F.col("label")), F.lit(r"\E")), -1)
-    reach = F.transform(F.slice(after, 2, 1_000_000), lambda x: F.array_join(F.slice(F.split(F.trim(x), " "), 1, REACH), " "))
+    reach = F.transform(F.slice(after, F.lit(2), F.size(after)), lambda x: F.array_join(F.slice(F.split(F.trim(x), " "), 1, REACH), " "))
     flat = lambda c: F.flatten(F.transform(facts.numbers_in(c), lambda t: t["values"]))
     wanted = F.get(facts.numbers_in(F.col("value")), 0)["values"]
     beside = F.col("label").isNull() | F.exists(reach, lambda x: F.arrays_overlap(flat(x), wanted))

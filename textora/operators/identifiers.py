@@ -99,8 +99,9 @@ def nearby_term(categories) -> Column:
     left = F.when(here.rlike(r"\p{L}{2}"), here).otherwise(F.translate(both, "\n", " "))
     around = _marked(F.lower(F.concat_ws(" ", left, F.substring_index("after", "\n", 1))))
     edges = lambda t: re.sub(r"(?<=[^\W_])(?![^\W_])|(?<![^\W_])(?=[^\W_])", EDGE, t.lower().strip())
-    first = lambda a, c: F.coalesce(*[F.when(a.contains(edges(t)), t) for t in c[4]])
-    return F.transform(F.array(around), lambda a: _by_category({c[0]: first(a, c) for c in categories if c[4]}, F.lit(None).cast("string")))[0]
+    each = lambda c: F.array(*[F.struct(F.lit(edges(t)).alias("marked"), F.lit(t).alias("term")) for t in c[4]])
+    terms = F.create_map(*[x for c in categories if c[4] for x in (F.lit(c[0]), each(c))])[F.col("category")]
+    return F.transform(F.array(around), lambda a: F.get(F.filter(terms, lambda t: a.contains(t["marked"])), 0)["term"])[0]
 
 
 def _part_of_more() -> Column:
@@ -151,20 +152,19 @@ def resolved(found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame
     Finds of a page fall into stretches that do not touch; the choice is a fold over the finds of one stretch.
     """
     order = {c[0]: i for i, c in enumerate(fixed.CATEGORIES)}
-    inside = F.col("category").isin(*fixed.EXCLUSIVE)
     place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("category")]
-    upto = Window.partitionBy("_page").orderBy("start", "end")
+    marked = found.withColumn("_inside", F.col("category").isin(*fixed.EXCLUSIVE))
+    upto = Window.partitionBy("_page", "_inside").orderBy("start", "end")
     reached = F.max("end").over(upto.rowsBetween(Window.unboundedPreceding, -1))
-    stretches = found.where(inside).withColumn("new", (F.col("start") >= F.coalesce(reached, F.lit(0))).cast("int"))
+    stretches = marked.withColumn("new", (~F.col("_inside") | (F.col("start") >= F.coalesce(reached, F.lit(0)))).cast("int"))  # other finds are stretches of their own
     stretches = stretches.withColumn("stretch", F.sum("new").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
     find = F.struct((F.col("start") - F.col("end")).alias("size"), F.col("context_term").isNull().alias("alone"), (-F.col("confidence")).alias("doubt"), place.alias("place"), *FOUND)
-    grouped = stretches.groupBy(*keys, "_page", "stretch").agg(F.array_sort(F.collect_list(find)).alias("finds"))
+    grouped = stretches.groupBy(*keys, "_page", "_inside", "stretch").agg(F.array_sort(F.collect_list(find)).alias("finds"))
     clash = lambda taken, x: F.exists(taken, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
     none = F.filter("finds", lambda _: F.lit(False))
     kept = F.aggregate("finds", none, lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
     kept = F.when(F.size("finds") == 1, F.col("finds")).otherwise(kept)
-    chosen = grouped.select(*keys, "_page", F.explode(kept).alias("f")).select(*keys, "_page", *(f"f.{c}" for c in FOUND))
-    return chosen.unionByName(found.where(~inside).select(*keys, "_page", *FOUND))
+    return grouped.select(*keys, "_page", F.explode(kept).alias("f")).select(*keys, "_page", *(f"f.{c}" for c in FOUND))
 
 
 def evidence(category: Column, near: Column) -> Column:

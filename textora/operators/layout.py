@@ -6,9 +6,16 @@ nothing to measure.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textora.operators import spans
+
+#: How a bare text is set: lines of a page, points of a character, points of a page.
+LINES, CHAR, PAGE = 60, (6.0, 12.0), (612.0, 720.0)
+
 
 def _rows(out: DataFrame, measured: dict[str, Column]) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), v.cast("double").alias("value")) for k, v in measured.items()])).alias("s")
@@ -63,3 +70,41 @@ def gutters(left: Column, right: Column, width: float, bins: int = 200, share: f
     touched = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(at(left), F.greatest(at(left), at(right)))))))
     wide = F.filter(F.transform(F.sequence(F.lit(1), F.size(touched) - 1), lambda i: F.get(touched, i) - F.get(touched, i - 1) - 1), lambda gap: gap >= share * bins)
     return F.when(F.count(left) >= 25, F.when(F.size(touched) > 1, F.size(wide) + 1).otherwise(1))
+
+
+def covered_area(boxes: DataFrame, *keys: str) -> DataFrame:
+    """(keys, area): the area of the union of boxes (keys, x0, y0, x1, y1) of each page, each place counted once.
+
+    The page is swept from edge to edge downwards: between two neighbouring edges the boxes that are there cover a set of
+    stretches, whose union is a running greatest end. Empty boxes and nulls cover nothing; null keys are a page like others.
+    """
+    real = boxes.where("x0 < x1 and y0 < y1").select(*keys, *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    edges = real.select(*keys, F.explode(F.array("y0", "y1")).alias("top")).distinct()
+    bands = edges.withColumn("bottom", F.lead("top").over(Window.partitionBy(*keys).orderBy("top"))).where("bottom is not null").alias("e")
+    same = [F.col(f"b.`{k}`").eqNullSafe(F.col(f"e.`{k}`")) for k in keys]
+    inside = reduce(lambda a, b: a & b, [*same, F.col("b.y0") <= F.col("e.top"), F.col("b.y1") >= F.col("e.bottom")])
+    there = real.alias("b").join(bands, inside).select(*(F.col(f"b.`{k}`") for k in keys), "top", "bottom", "x0", "x1")
+    by = Window.partitionBy(*keys, "top").orderBy("x0", "x1")
+    reached = F.max("x1").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0.0), F.col("x1") - F.greatest("x0", F.coalesce(reached, F.col("x0"))))
+    return there.withColumn("_area", fresh * (F.col("bottom") - F.col("top"))).groupBy(*keys).agg(F.sum("_area").alias("area"))
+
+
+def text_boxes(docs: DataFrame, key: str = "doc_id", lines: int = LINES, width: float = CHAR[0], height: float = CHAR[1]) -> DataFrame:
+    """(key, page, x0, y0, x1, y1): where the lines of a text stand when set in characters of one size, so many to a page."""
+    at = F.col("line") % lines
+    lead = F.length(F.regexp_extract("text", r"^(\s*)", 1))
+    each = spans.line_spans(docs, key).where(F.trim("text") != "")
+    return each.select(key, F.floor(F.col("line") / lines).cast("int").alias("page"), (lead * width).alias("x0"), (at * height).alias("y0"), (F.length(F.rtrim("text")) * width).alias("x1"), ((at + 1) * height).alias("y1"))
+
+
+def set_pages(docs: DataFrame, key: str = "doc_id", page_width: float = PAGE[0], lines: int = LINES) -> DataFrame:
+    """Pages for page_signals() of texts set as text_boxes() says: the share of each page that text covers; lines are cut at
+    its edge. A text of blank lines has pages that nothing covers; null texts have none."""
+    edge = lambda c: F.least(F.lit(page_width), F.col(c))
+    area = covered_area(text_boxes(docs, key, lines).withColumns({"x0": edge("x0"), "x1": edge("x1")}), key, "page")
+    pages = docs.where(F.col("text").isNotNull()).select(key, F.explode(F.sequence(F.lit(0), F.floor((F.size(F.split("text", "\n", -1)) - 1) / lines).cast("int"))).alias("page")).alias("p")
+    height = lines * CHAR[1]
+    both = pages.join(area.alias("a"), F.col(f"p.`{key}`").eqNullSafe(F.col(f"a.`{key}`")) & (F.col("p.page") == F.col("a.page")), "left")
+    none = F.lit(None).cast("double")
+    return both.select(F.col(f"p.`{key}`").alias(key), "p.page", F.lit(page_width).alias("width"), F.lit(height).alias("height"), F.lit(0).alias("rotation"), (F.coalesce("area", F.lit(0.0)) / (page_width * height)).alias("text_share"), none.alias("image_share"), none.alias("confidence"), none.alias("dpi"))

@@ -96,14 +96,16 @@ def routed_costs(routed: DataFrame, model: costs.Model, resolution: str = "high"
 
 
 def by_format(readings: DataFrame) -> DataFrame:
-    """Documents, pages, characters and least mean similarity by format and loader, and by loader over all formats (null).
+    """Documents, pages, characters and mean similarity by format and loader, and by loader over all formats.
+
+    Rows over all formats have all_formats true and a null format; a null format of its own has it false.
 
     readings: format, loader, doc_id, pages, chars, similarity, a row per document and loader.
     """
     return readings.cube("format", "loader").agg(
         F.grouping("format").alias("_f"), F.grouping("loader").alias("_l"), F.countDistinct("doc_id").alias("documents"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"),
         F.bround(F.avg(_exact(F.col("similarity"))).cast("double"), 4).alias("similarity"),
-    ).where("_l = 0").drop("_f", "_l")
+    ).where("_l = 0").withColumn("all_formats", F.col("_f") == 1).drop("_f", "_l")
 
 
 def stage_identifiers(found: DataFrame) -> DataFrame:

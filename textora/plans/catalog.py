@@ -437,7 +437,7 @@ def totals_by_language(read):
 
 
 def queries() -> dict[str, Query]:
-    from textora.plans import rollup_queries  # noqa: F401  registers its queries
+    from textora.plans import rollup_queries, trace_queries  # noqa: F401  register their queries
 
     return dict(QUERIES)
 

@@ -69,7 +69,7 @@ def routed_costs(read):
 SELECT lang AS format, source AS loader, count(DISTINCT doc_id) AS documents, sum(doc_id % 5)::BIGINT AS pages, sum(n_chars)::BIGINT AS chars, round_even(avg(((doc_id % 4) / 4.0)::DECIMAL(28,6))::DOUBLE, 4) AS similarity FROM documents GROUP BY GROUPING SETS ((lang, source), (source))""")
 def formats_by_loader(read):
     rows = read("documents").select(F.col("lang").alias("format"), F.col("source").alias("loader"), "doc_id", (F.col("doc_id") % 5).alias("pages"), F.col("n_chars").alias("chars"), ((F.col("doc_id") % 4) / 4.0).alias("similarity"))
-    return rollups.by_format(rows)
+    return rollups.by_format(rows).drop("all_formats")
 
 
 @query("SELECT role AS stage, conv_id % 4 AS fingerprint, count(*) AS occurrences, count(DISTINCT conv_id) AS items FROM conversations GROUP BY ALL")
