@@ -61,6 +61,12 @@ class Postings:
     place: np.ndarray
 
 
+def _reaching(count: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Where a step and the STEPS after it together have what is needed."""
+    total = np.concatenate([[0], np.cumsum(count), np.full(STEPS, count.sum())])
+    return np.flatnonzero(total[STEPS + 1 :] - total[: -STEPS - 1] >= need)
+
+
 class Facts:
     def __init__(self, texts: list[str], least: float) -> None:
         self.texts, self.least = texts, least
@@ -90,7 +96,7 @@ class Facts:
             part = chars[start : start + SLICE + 2 * over]
             steps = (len(part) + over) // width + STEPS + 1  # the last stay empty
             base = np.cumsum(steps) - steps
-            count = np.zeros(int(steps.sum()), np.int64)
+            bins, met = int(steps.sum()), []
             for p in self.postings:
                 code = _codes(part, p.q)
                 low = np.searchsorted(p.code, code, side="left")
@@ -98,9 +104,17 @@ class Facts:
                 at = np.repeat(np.arange(len(code)), n)
                 entry = np.repeat(low, n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
                 fact = p.fact[entry]
-                count += np.bincount(base[fact] + (at - p.place[entry] + over) // width[fact], minlength=len(count))
-            total = np.concatenate([[0], np.cumsum(count), np.full(STEPS, count.sum())])
-            good = np.flatnonzero(total[STEPS + 1 :] - total[: -STEPS - 1] >= np.repeat(self.need, steps))
+                met.append((base[fact] + (at - p.place[entry] + over) // width[fact], p.place[entry]))
+            bin_, place = (np.concatenate(x) for x in zip(*met, strict=True))
+            need = np.repeat(self.need, steps)
+            good = _reaching(np.bincount(bin_, minlength=bins), need)
+            # where matches are enough, count again how many places of the fact have one: a text that repeats itself has many of each
+            inside = np.zeros(bins + STEPS + 2, np.int64)
+            np.add.at(inside, good, 1)
+            np.add.at(inside, good + STEPS + 1, -1)
+            mine = np.cumsum(inside)[bin_] > 0
+            once = np.unique(bin_[mine] * (int(self.longest.max()) + 1) + place[mine]) // (int(self.longest.max()) + 1)
+            good = _reaching(np.bincount(once, minlength=bins), need)
             fact = np.searchsorted(base, good, side="right") - 1
             first = start + (good - base[fact]) * width[fact] - over
             yield from zip(fact.tolist(), np.maximum(first, 0).tolist(), (first + (STEPS + 1) * width[fact] - 1).tolist(), strict=True)
@@ -174,6 +188,8 @@ def near_scores(pages: DataFrame, facts: DataFrame, key: str = "doc_id", least:
     want = facts.select("fact", tx.tidy(F.col("text")).alias("what")).where("trim(what) <> ''").distinct()
     body = pages.select(key, tx.tidy(tx.empty_as(F.col("text"))).alias("body")).where("body <> ''")
     shape = ", ".join([f"fact {dict(facts.dtypes)['fact']}", f"`{key}` {dict(pages.dtypes)[key]}", "score double", "windows long", "of_windows long"])
+    if body.rdd.getNumPartitions() < body.sparkSession.sparkContext.defaultParallelism:
+        body = body.repartition(body.sparkSession.sparkContext.defaultParallelism)  # a small table, to all cores
     kind = want.select("fact").limit(0).toArrow().schema.field("fact").type
     found = [body.mapInArrow(_compare(block, kind, least), shape) for block in _blocks(want)]
     return reduce(DataFrame.unionByName, found).distinct() if found else body.sparkSession.createDataFrame([], shape)
