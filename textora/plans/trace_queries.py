@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from textora.operators import asof, compare, layout, sketches, spans, trace
+from textora.operators import asof, compare, layout, sketches, spans, tables, trace
 from textora.plans.catalog import query
 from textora.streaming import events as streaming
 
@@ -107,3 +107,20 @@ def tail_similarity(read):
     tail = F.array_join(F.slice("w", lost + 1, F.size("w")), " ")
     both = compare.similarity(docs.select("doc_id", "page", F.array_join("w", " ").alias("text")), docs.select("doc_id", "page", tail.alias("text")))
     return both.select("doc_id", "similarity")
+
+
+_PIPES = r"""
+d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, l, list_filter(range(1, len(l)), lambda i: regexp_matches(l[i], '^\s*\|.*\|\s*$') AND regexp_matches(l[i + 1], '^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*$')) AS h FROM d),
+r AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM h WHERE len(h) > 0),
+m AS (SELECT *, regexp_matches(l[i], '^\s*\|.*\|\s*$') AS row, regexp_matches(l[i], '^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*$') AS rule FROM r),
+n AS (SELECT *, row AND coalesce(lead(rule) OVER (PARTITION BY doc_id ORDER BY i), false) AS head, sum(CASE WHEN row OR rule THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+f AS (SELECT *, min(CASE WHEN head THEN i END) OVER (PARTITION BY doc_id, run) AS first FROM n WHERE row OR rule),
+k AS (SELECT *, max(CASE WHEN i > first + 1 AND NOT row THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, run ORDER BY i) AS broken FROM f WHERE i >= first),
+t AS (SELECT doc_id, first, i, len(string_split(regexp_replace(trim(l[i]), '^\|+|\|+$', '', 'g'), '|')) AS cells FROM k WHERE broken = 0 AND i <> first + 1)"""
+
+
+@query(rf"""WITH {_PIPES}, s AS (SELECT doc_id, first, count(*) AS rows, max(cells) AS columns FROM t GROUP BY doc_id, first)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS "table", rows, columns, 1 AS header_depth, 0 AS merged FROM s QUALIFY rows >= 2 AND columns >= 2""")
+def pipe_tables(read):
+    return tables.shapes(tables.pipe_cells(read("documents")))
