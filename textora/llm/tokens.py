@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces after which those not used since are forgotten, characters of a text that are worked on at a time, and of texts together.
-KEPT, SLICE, TOGETHER = 3 << 16, 1 << 20, 6 << 20
+KEPT, SLICE, TOGETHER = 1 << 17, 1 << 20, 3 << 20
 _MARKS = frozenset(string.punctuation)
 
 
