@@ -361,3 +361,34 @@ def test_long_words_that_swap_bytes_differ(spark):
     rows = [(1, f"{''.join(word)} b c d"), (2, f"{''.join(other)} b c d"), (3, f"{''.join(word)} b c d")]
     got = ngram_join.ngram_classes(spark.createDataFrame(rows, "doc_id long, text string"), n=4, threshold=(17, 20)).collect()
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_targets_equal_a_waterfill(spark, sf_dir):
+    """Targets by hand: weights cycle over the sources in order, what exceeds three times a source is shared again."""
+    docs = read(spark, sf_dir, "documents").select("source", "text").collect()
+    size = {}
+    for r in docs:
+        size[r.source] = size.get(r.source, 0) + len(WORD.findall(r.text or ""))
+    order = sorted(size, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+    weight, total, target, open_ = {s: 1 + i % 3 for i, s in enumerate(order)}, sum(size.values()), {}, set(order)
+    while open_:
+        left, share = total - sum(target.values()), sum(weight[s] for s in open_)
+        full = {s for s in open_ if left * weight[s] / share > 3 * size[s]}
+        target |= {s: 3.0 * size[s] for s in full} if full else {s: left * weight[s] / share for s in open_}
+        open_ -= full or open_
+    taken = {}
+    for r in queries.op1_entropy_mix(spark, sf_dir).collect():
+        assert abs(r.target - target[r.source]) <= 1e-9 * total and r.source_size == size[r.source] and 0 <= r.taken <= 3 * r.size
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 200 for s in order)
+
+
+def test_scores_of_odd_rows(spark, sf_dir):
+    """Null, empty and very long texts, repeated and null ids, a column of the score's name: a score each, equal texts alike."""
+    docs = read(spark, sf_dir, "documents")
+    machine = quality.train(docs, read(spark, sf_dir, "labels"))
+    rows = [(1, None, None), (2, "", None), (3, " \n", 2), (4, "word " * 200_000, 1_000_000), (5, "x" * 1_000_000, None), (None, "plain words here", 16), (5, "plain words here", 16)]
+    got = quality.score(spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("scored", F.lit("x")), machine, into="mine").collect()
+    assert len(got) == len(rows) and all(0 <= r.mine <= 1 for r in got)
+    assert len({r.mine for r in got if r.text == "plain words here"}) == 1 and len({r.mine for r in got if not r.text}) == 1
+    assert quality.score(spark.createDataFrame([], "doc_id long, text string, n_chars long"), machine).count() == 0
