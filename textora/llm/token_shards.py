@@ -15,7 +15,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -195,11 +195,13 @@ def _load(fs, base: str, part: int) -> KeyIndex:
         return KeyIndex.from_bytes(f.read())
 
 
-def find(keys: DataFrame, uri: str, id_col: str = "doc_id") -> DataFrame:
+def find(keys: DataFrame, uri: str, id_col: str = "doc_id", cut: Callable | None = None, schema: str = "id long, first long, rows long") -> DataFrame:
     """(id, first, rows) of every distinct key that the index holds, null a key like others (id is then NO_ID).
 
-    A key that was never written passes for another one once in 2^32; fetch() compares the stored id.
+    A key that was never written passes for another one once in 2^32; fetch() compares the stored id. cut: what the task
+    makes of the three arrays, columns by the schema.
     """
+    names = [c.split()[0] for c in schema.split(", ")]
     spark = keys.sparkSession
     have = {r.part for r in spark.read.parquet(f"{uri}/index").select("part").collect()}  # a row for so many keys
     parts = index_parts(spark, uri) or 1
@@ -218,10 +220,11 @@ def find(keys: DataFrame, uri: str, id_col: str = "doc_id") -> DataFrame:
                     now, index = p, _load(fs, base, p)
                 mine = part == p
                 held, slots = index.find(key[mine].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[mine][held]), pa.array(slots["first"].astype(np.int64)), pa.array(slots["rows"].astype(np.int64))], ["id", "first", "rows"])
+                out = ids[mine][held], slots["first"].astype(np.int64), slots["rows"].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cut(*out) if cut else out)], names)
 
     dealt = asked.repartition(max(1, min(parts, 10 * int(spark.conf.get("spark.sql.shuffle.partitions")))), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(look, "id long, first long, rows long")
+    return dealt.mapInArrow(look, schema)
 
 
 def fetch(keys: DataFrame, uri: str, id_col: str = "doc_id", ids: bool = False) -> DataFrame:
@@ -232,20 +235,17 @@ def fetch(keys: DataFrame, uri: str, id_col: str = "doc_id", ids: bool = False)
     """
     spark = keys.sparkSession
     held = Shards(spark.read.parquet(f"{uri}/manifest"), uri)
-    spans = find(keys, uri, id_col)
 
-    @F.pandas_udf("array<struct<k:int,first:long,n:long>>")
-    def split(first, rows):
-        import pandas as pd
+    def cut(ids: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple:
+        """Records first to first + rows of each id, cut where a shard ends: (id, shard entry, first record, records)."""
+        low, high = held.of(first), held.of(first + rows - 1)
+        n = high - low + 1
+        of = np.repeat(np.arange(len(ids)), n)
+        k = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        start, end = np.maximum(first[of], held.first[k]), np.minimum((first + rows)[of], np.append(held.first, held.total)[k + 1])
+        return ids[of], k, start, end - start
 
-        out = []
-        for a, n in zip(first, rows, strict=True):
-            ends = np.append(held.first[held.of(np.array([a]))[0] + 1 :], held.total) if n > 1 else np.array([a + 1])
-            cut = np.unique(np.concatenate([[a], ends[ends < a + n], [a + n]]))
-            out.append([{"k": int(held.of(x)), "first": int(x), "n": int(y - x)} for x, y in zip(cut[:-1], cut[1:], strict=True)])
-        return pd.Series(out)
-
-    pieces = spans.select("id", F.explode(split("first", "rows")).alias("p")).select("id", "p.*")
+    pieces = find(keys, uri, id_col, cut, "id long, k long, first long, n long")
     spread = max(1, min(len(held.first), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     pieces = pieces.repartition(spread, "k").sortWithinPartitions("k", "first")
     schema = f"{FOUND}, ids array<long>" if ids else FOUND
