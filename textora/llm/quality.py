@@ -190,12 +190,10 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", told_col: s
     """docs with a column `into`, between 0 and 1, for every row; null text counts as empty, a null length as unknown."""
     held = docs.sparkSession.sparkContext.broadcast(machine)
 
-    @F.pandas_udf("double")
-    def scored(text, told):
-        import pandas as pd
-
-        at = [held.value.score(f) for f in featurise(pa.array(text, pa.large_string(), from_pandas=True), pa.array(told, pa.float64(), from_pandas=True))]
-        return pd.Series(np.concatenate(at) if at else np.empty(0))
+    @F.arrow_udf("double")
+    def scored(text: pa.Array, told: pa.Array) -> pa.Array:
+        at = [held.value.score(f) for f in featurise(text.cast(pa.large_string()), told)]
+        return pa.array(np.concatenate(at) if at else np.empty(0), pa.float64())
 
     told = F.col(told_col).cast("double") if told_col else F.lit(None).cast("double")
     return docs.withColumn(into, scored(F.col(text_col), told))
