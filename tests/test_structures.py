@@ -131,3 +131,11 @@ def test_null_keys_are_keys(spark):
 def test_identifiers_read_pages_once(spark):
     plan = identifiers.scan(spark.createDataFrame([(1, "mail bob@example.org")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_verified_pages_are_counted(spark):
+    pages = spark.createDataFrame([(1, "agrees", 0.1), (1, "disagrees", 0.2), (1, "not_rendered", None), (2, "filled", None), (2, "odd", 0.0), (2, None, None)], "doc_id long, status string, usd double")
+    documents = spark.createDataFrame([(1, 4), (2, 3), (9, 100)], "doc_id long, pages int")
+    got = rollups.verification(pages, documents).collect()
+    assert [(r.documents, r.pages_total, r.pages_checked, r.pages_agrees, r.pages_disagrees, r.pages_filled, r.pages_failed, r.pages_not_rendered, r.usd) for r in got] == [(2, 7, 4, 1, 1, 1, 0, 1, 0.3)]
+    assert rollups.verification(pages.limit(0), documents).count() == 0

@@ -196,3 +196,23 @@ DATE_FAMILIES = (
     ("day_month", r"\b\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+(?:19|20)\d{2}\b"),
     ("month_day", r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+(?:19|20)\d{2}\b"),
 )
+
+#: Words that make a number some other field's, and words beside a phone or a card.
+OTHER_FIELD = (
+    r"(?i)\b(?:invoice|fatura|factura|facture|rechnung|fattura|factuur|order|encomenda|requisi[çc][ãa]o|pedido|commande|bestell\w*|auftrag|ordine|bestelnummer|"
+    r"purchase order|po|ean|gtin|isbn|imei|serial|s[ée]rie|serien\w*|matricola|lote?|lotto|batch|charge|partij|tracking|policy|ap[óo]lice|polizza|ticket|"
+    r"ref(?:er[êe]ncia|erence|erenz|erentie|erencia|érence)?\.?|kenmerk|vorgang|customer no|account ref|kundennummer|klantnummer|delivery note|guia(?: de remessa)?|"
+    r"lieferschein|job(?: number)?|licen[cs]e|meter|cpe|hs code|cae|build|version|commit|entidade|atcud|tel(?:efone|efon|efoon|[ée]phone|efono)?\.?|phone|mobile?|"
+    r"telem[óo]vel|m[óo]vil|portable|cellulare|fax)\b[^\n:]{0,20}[:#]?[ \t]*$"
+)
+PHONE_WORDS = (
+    r"(?i)\b(?:tel|phone|mobile|telefone|telem[óo]vel|tel[ée]fono|m[óo]vil|t[ée]l[ée]phone|portable|telefon|mobil|telefoon|mobiel|cellulare|telefono|contacto?|fax|call)\b"
+)
+CARD_WORDS = r"(?i)\b(?:card|cart[ãa]o|tarjeta|carte|karte|visa|mastercard|amex|pan)\b"
+
+#: Patterns of what stands for a secret in documentation; a value that is one of them is no secret.
+PLACEHOLDERS = (
+    r"x+", r"\*+", r"\.+", r"-+", r"_+", r"0+", r"1234\w*", r"changeme\w*", r"password\w*", r"passw(?:or)?d?", r"secret\w*", r"your[_-]?\w*", r"my[_-]?\w*", r"example\w*",
+    r"sample\w*", r"dummy\w*", r"test\w*", r"placeholder\w*", r"redacted", r"none", r"null", r"undefined", r"todo", r"tbd", r"<[^>]*>", r".*example.*", r"\$\{[^}]*\}",
+    r"\{\{[^}]*\}\}", r"%\w+%", r"\$\w+",
+)

@@ -220,3 +220,21 @@ def untouched(found: DataFrame, reported: DataFrame, key: str = "doc_id", cell:
     hit = x.join(y, meets, "left_semi").select(key, "start", "end").distinct().alias("h")
     f = found.alias("f")
     return f.join(hit, F.col(f"f.{key}").eqNullSafe(F.col(f"h.{key}")) & (F.col("f.start") == F.col("h.start")) & (F.col("f.end") == F.col("h.end")), "left_anti")
+
+
+#: Outcomes of a page held against an independent reading.
+STATUSES = ("agrees", "disagrees", "filled", "failed", "not_rendered")
+
+
+def verification(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row of pages held against an independent reading (doc_id, status, usd) of documents (doc_id, pages): documents,
+    pages_total, pages_checked, a count per status, usd.
+
+    Pages that could not be sent are not checked. usd is null where no page has a price. Without verified pages: no row.
+    """
+    verified = pages.select("doc_id").distinct()
+    total = documents.join(verified, "doc_id", "left_semi").agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("pages_total"))
+    counts = [F.count(F.when(F.col("status") == s, 1)).alias(f"pages_{s}") for s in STATUSES]
+    usd = F.round(F.sum(F.col("usd").cast("decimal(28,8)")), 6).cast("double").alias("usd")
+    out = pages.agg(F.countDistinct("doc_id").alias("documents"), F.count(F.when(F.col("status") != "not_rendered", 1)).alias("pages_checked"), *counts, usd)
+    return out.where("documents > 0").crossJoin(total)

@@ -86,6 +86,11 @@ def write_report(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
 
 
+def write_diff(diff: DataFrame, path: str) -> None:
+    """What differs between two reports (area, document, subject, change, ...) as JSON lines: changes, and counts by area and change."""
+    write_report({"changes": diff, "counts": diff.groupBy("area", "change").agg(F.count("*").alias("n"))}, path)
+
+
 def read_report(spark: SparkSession, path: str, schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """The tables of a report, by the names of its folders; a table without a schema has the one its rows show."""
     found = schemas or dict.fromkeys(_folders(spark, path))
