@@ -51,10 +51,11 @@ def test_what_differs(spark, made, tmp_path):
     changed = [p for p in PAGES if p[0] != "c.txt"] + [("d.txt", 1, "Mail zoe@example.org at once")]
     after = report.tables(spark.createDataFrame(changed, "document string, page int, text string"))
     before = report.tables(spark.createDataFrame(PAGES, "document string, page int, text string"))
-    got = {(r.area, r.document, r.change) for r in report.reports_differ(before, after).collect()}
+    rows = report.reports_differ(before, after).collect()
+    got = {(r.area, r.document, r.change) for r in rows}
     assert {("documents", "c.txt", "removed"), ("documents", "d.txt", "added"), ("identifiers", "d.txt", "added")} <= got
     assert not any(d == "a.txt" for _, d, _ in got)
     files.write_diff(report.reports_differ(before, after), f"file://{tmp_path}/diff")
     again = files.read_report(spark, f"file://{tmp_path}/diff")
-    assert again["changes"].count() == sum(r.n for r in again["counts"].collect()) == len(got)
+    assert again["changes"].count() == sum(r.n for r in again["counts"].collect()) == len(rows)
     assert report.reports_differ(before, before).count() == 0
