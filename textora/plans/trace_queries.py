@@ -91,7 +91,7 @@ def text_without_numbers(read):
 WITH l AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'i': i - 1, 't': x})) AS l FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, l.i // 60 AS page, CASE WHEN trim(l.t) <> '' THEN (least(612, length(rtrim(l.t)) * 6) - least(612, length(regexp_extract(l.t, '^(\s*)', 1)) * 6)) * 12.0 ELSE 0 END AS area FROM l),
 p AS (SELECT doc_id, page, (sum(area::DOUBLE) / (612.0 * 720.0))::DECIMAL(18,6) AS share FROM c GROUP BY ALL)
-SELECT doc_id, 'text_layer_coverage_pct' AS signal, round_even(avg(share)::DOUBLE * 100, 2) AS value FROM p GROUP BY doc_id""")
+SELECT doc_id, 'text_layer_coverage_pct' AS signal, round_even((round(sum(share)::DOUBLE / count(*), 10) * 100)::DECIMAL(18,8), 2)::DOUBLE AS value FROM p GROUP BY doc_id""")
 def set_text_coverage(read):
     rows = layout.page_signals(layout.set_pages(read("documents").select("doc_id", "text")))
     return rows.where("signal = 'text_layer_coverage_pct'").select("doc_id", "signal", "value")
