@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textora.functions import align
 from textora.operators import asof, chunks, facts, findings, identifiers, layout, rollups, sketches, spans, trace
+from textora.plans import catalog
 
 
 def test_chains_end_in_log_rounds(spark):
@@ -139,3 +140,9 @@ def test_verified_pages_are_counted(spark):
     got = rollups.verification(pages, documents).collect()
     assert [(r.documents, r.pages_total, r.pages_checked, r.pages_agrees, r.pages_disagrees, r.pages_filled, r.pages_failed, r.pages_not_rendered, r.usd) for r in got] == [(2, 7, 4, 1, 1, 1, 0, 1, 0.3)]
     assert rollups.verification(pages.limit(0), documents).count() == 0
+
+
+def test_values_beyond_a_million_are_found(spark, tmp_path):
+    spark.createDataFrame([(9, 1_200_000), (10, 1200)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(400_000,), (400,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    assert sorted(catalog.queries()["value_places"](spark, str(tmp_path)).collect()) == [(400, 10), (400_000, 9)]

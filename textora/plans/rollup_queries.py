@@ -201,7 +201,7 @@ _PLAIN_VALUES = r"""n AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text
 def value_places(read):
     pages = read("orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("total "), F.col("o_custkey"), F.lit(" of "), F.col("o_orderkey")).alias("text"))
     value = F.col("p_partkey") * 3
-    grouped = F.when(value >= 1000, F.concat(F.floor(value / 1000).cast("string"), F.lit("'"), F.lpad((value % 1000).cast("string"), 3, "0"))).otherwise(value.cast("string"))
+    grouped = F.translate(F.format_number(value, 0), ",", "'")
     return facts.values_found(pages, read("part").select(F.col("p_partkey").alias("fact"), F.concat(F.lit("EUR "), grouped).alias("value")))
 
 
