@@ -1,5 +1,6 @@
 """Span trees, as-of values, sketches, stretches of text, areas and readings against brute force, with odd rows."""
 
+import math
 import random
 from difflib import SequenceMatcher
 
@@ -146,3 +147,24 @@ def test_values_beyond_a_million_are_found(spark, tmp_path):
     spark.createDataFrame([(9, 1_200_000), (10, 1200)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
     spark.createDataFrame([(400_000,), (400,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
     assert sorted(catalog.queries()["value_places"](spark, str(tmp_path)).collect()) == [(400, 10), (400_000, 9)]
+
+
+@pytest.mark.parametrize("block", [1, 1 << 17])
+def test_bm25_in_blocks_equals_a_sum_by_hand(spark, monkeypatch, block):
+    monkeypatch.setattr(chunks, "BLOCK", block)
+    texts = [(i, i % 3, " ".join(("tea", "milk", "jam", "salt")[(i * j) % 4] for j in range(1 + i % 5))) for i in range(40)] + [(40, 0, None), (None, 1, "jam tea")]
+    asked = [("a", "tea or jam, jam"), ("b", "salt"), ("c", "nothing"), (None, "milk tea")]
+    words = [(d, c, (t or "").split()) for d, c, t in texts]
+    mean, want = sum(len(w) for *_, w in words) / len(words), {}
+    for q, text in asked:
+        for d, c, w in words:
+            for term in {*text.replace(",", "").split()} & {*w}:
+                df = sum(term in x for *_, x in words)
+                norm = w.count(term) + 1.5 * (0.25 + 0.75 * len(w) / mean)
+                want[q, d, c] = want.get((q, d, c), 0) + math.log((len(words) - df + 0.5) / (df + 0.5) + 1) * w.count(term) * 2.5 / norm
+    docs, questions = spark.createDataFrame(texts, "doc_id long, chunk int, text string"), spark.createDataFrame(asked, "question string, query string")
+    scores = chunks.bm25(docs, questions)
+    assert {(r.question, r.doc_id, r.chunk): r.score for r in scores.collect()} == pytest.approx(want, abs=1e-9)
+    best = [chunks.ranked(x).collect() for x in (scores, chunks.bm25(docs, questions, top=5))]
+    assert sorted(best[0], key=str) == sorted(best[1], key=str)
+    assert "hashpartitioning" not in scores._jdf.queryExecution().executedPlan().toString()  # scores are added up in a chunk's row

@@ -277,7 +277,7 @@ SELECT question, rank, doc_id, chunk, round(score, 4) AS score FROM r WHERE rank
 def bm25_top5(read):
     # Its SQL defines the questions of this query as the first eight words of the items.
     asked = _questions(read).withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 8), " "))
-    best = chunks.ranked(chunks.bm25(_chunks(read), asked))
+    best = chunks.ranked(chunks.bm25(_chunks(read), asked, top=5))
     return best.select("question", "rank", "doc_id", "chunk", F.round("score", 4).alias("score"))
 
 
