@@ -1,6 +1,9 @@
+import random
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
-from textora.functions import checks, text as tx
+from textora.functions import align, checks, text as tx
 from textora.operators import chunks, compare, facts, findings, governance, hidden, identifiers, layout
 from textora.plans import catalog
 from textora.sources import files
@@ -67,6 +70,28 @@ def test_readings_are_compared_whole(spark):
     assert got == [round(2 * 6999 / 14000, 4), round(2 * 6000 / 13000, 4)]
 
 
+def test_words_are_matched_as_difflib_does_with_less_search():
+    """Equal to difflib on readings of which parts are gone, added, changed or moved; of changed ones little is searched."""
+    rng = random.Random(3)
+    for _ in range(4000):
+        few = rng.choice((2, 3, 5, 20, 200))
+        a = [str(rng.randrange(few)) for _ in range(rng.randint(1, 60))]
+        b = list(a)
+        for _ in range(rng.randint(0, 8)):
+            i, how = rng.randrange(len(b) + 1), rng.randrange(4)
+            b = [b[:i] + b[i + 3 :], b[:i] + [str(rng.randrange(few))] * 2 + b[i:], b[:i] + [str(rng.randrange(few))] + b[i + 1 :], b[i:] + b[:i]][how]
+        assert align.matched(a, b) == sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    words = [f"{'w' if i % 9 else 'W'}{i % 400}" for i in range(399)]
+    assert align.blocks(words, [w.lower() for w in words], 3) == [(i + 1, i + 1, min(8, 398 - i)) for i in range(0, 399, 9) if i < 396]
+
+
+def test_readings_that_are_reordered(spark):
+    rows = [(1, "a b\u00a0c d", "d b\u00a0c a"), (2, "a b c", "a c\tb"), (3, "a b", "a b b"), (4, None, ""), (5, "a b", "A b"), (6, None, "x")]
+    one = lambda i: spark.createDataFrame([(r[0], 1, r[i]) for r in rows], "doc_id long, page int, text string")
+    got = {r.doc_id: (r.similarity, r.reordered) for r in compare.similarity(one(1), one(2)).collect()}
+    assert got == {1: (0.5, True), 2: (0.6667, True), 3: (0.8, False), 4: (1.0, False), 5: (0.5, False), 6: (0.0, False)}
+
+
 def test_questions_are_asked_whole(spark, sf_dir):
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     assert catalog._questions(read).where("query = answer").count() == read("benchmark").count()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
 from textora import fixed
 
@@ -44,12 +44,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
 
 
-def same_words(a: Column, b: Column) -> Column:
-    """Whether two texts hold the same words, in any order."""
-    bag = lambda t: F.array_sort(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
-    return bag(a) == bag(b)
-
-
 def tidy(text: Column) -> Column:
     """For matching facts: no invisible characters or soft hyphens, hyphenated line breaks joined, blanks squeezed, lower case."""
     t = F.replace(strip_invisible(text), F.lit("\u00ad"), F.lit(""))
@@ -165,6 +159,17 @@ def reading_similarity(a, b):
     return pd.Series([similarity((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(StructType().add("similarity", DoubleType()).add("same_words", BooleanType()))
+def readings_compared(a, b):
+    """reading_similarity() of two readings, and whether they hold the same words in any order."""
+    import pandas as pd
+
+    from textora.functions.align import same_words, similarity
+
+    pairs = [(x or "", y or "") for x, y in zip(a, b, strict=True)]
+    return pd.DataFrame({"similarity": [similarity(x.split(), y.split()) for x, y in pairs], "same_words": [same_words(x, y) for x, y in pairs]}).astype({"similarity": "float64", "same_words": "bool"})
+
+
 @F.pandas_udf(StringType())
 def nfkc(text):
     import unicodedata

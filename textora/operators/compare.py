@@ -29,9 +29,8 @@ def uneven_keys(metadata: DataFrame) -> DataFrame:
 def similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     """(doc_id, similarity, reordered): the worst page's likeness; a page that one side lacks counts as empty. a, b: doc_id, page, text."""
     both = a.select("doc_id", "page", F.col("text").alias("x")).join(b.select("doc_id", "page", F.col("text").alias("y")), ["doc_id", "page"], "full")
-    x, y = tx.empty_as(F.col("x")), tx.empty_as(F.col("y"))
-    score = both.withColumns({"_s": tx.reading_similarity(x, y), "_r": tx.same_words(x, y)})
-    return score.groupBy("doc_id").agg(F.min("_s").alias("similarity"), (F.bool_and("_r") & (F.min("_s") < 1.0)).alias("reordered"))
+    score = both.select("doc_id", tx.readings_compared(tx.empty_as(F.col("x")), tx.empty_as(F.col("y"))).alias("r")).select("doc_id", "r.*")
+    return score.groupBy("doc_id").agg(F.min("similarity").alias("similarity"), (F.bool_and("same_words") & (F.min("similarity") < 1.0)).alias("reordered"))
 
 
 def coverage(a: Column, b: Column) -> Column:
