@@ -67,3 +67,15 @@ def test_few_windows_are_compared(spark):
         looked += given.best(plain)[1]
         all_ += sum(max(1, plain.count(" ") + 2 - w.count(" ") - 1 - d) for w in given.texts for d in (-1, 0, 1))
     assert looked < all_ / 100
+
+
+def test_windows_that_begin_together_are_looked_at_together(monkeypatch):
+    """Of windows side by side few are compared character by character, and the best ratio is that of all of them."""
+    rng, calls, common = random.Random(5), [], near.common
+    monkeypatch.setattr(near, "common", lambda *a: calls.append(1) or common(*a))
+    word = lambda: "".join(rng.choices(("th", "er", "on", "an", "in"), k=rng.randint(1, 3)))
+    fact = " ".join(word() for _ in range(40))
+    text = " ".join(word() for _ in range(600)) + " " + spoiled(rng, fact, 0.05) + " " + " ".join(word() for _ in range(600))
+    found, looked = near.Facts([fact], near.NEARLY).best(text)
+    assert found == {0: brute([(1, text)], [(0, fact)])[0, 1]}
+    assert looked > 3 * len(calls) > 0

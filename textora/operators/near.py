@@ -25,8 +25,10 @@ from textora.functions import text as tx
 
 #: Ratio from which a passage is nearly the fact, characters of facts that go to the tasks at a time, characters of a text looked up at a time.
 NEARLY, BLOCK, SLICE = 0.9, 1 << 20, 1 << 16
-#: Steps in which a window's diagonals are counted.
+#: Steps, at least, in which a window's diagonals are counted.
 STEPS = 4
+#: Part of a fact's length within which windows begin that are first looked at together.
+RUN = 6
 
 
 def normal(text: str) -> str:
@@ -53,18 +55,37 @@ def _chars(text: str) -> np.ndarray:
 
 @dataclass
 class Postings:
-    """Grams of all facts of one q, sorted: code, fact and place of each."""
+    """Grams of the facts of one q and one width of steps (2 ** shift diagonals): fact and place of each, by the codes of all
+    facts of that q; those of the i-th code begin at begin[i].
+
+    facts: their numbers, by `span`, the steps that hold all diagonals of a window; need: the grams those must hold.
+    """
 
     q: int
-    code: np.ndarray
+    shift: int
+    over: int
+    facts: np.ndarray
+    span: np.ndarray
+    need: np.ndarray
+    begin: np.ndarray
     fact: np.ndarray
     place: np.ndarray
 
+    def reaching(self, bins: np.ndarray, steps: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fact, step) from which the span of a fact has what is needed; bins: steps of the matches, by fact of `of`.
 
-def _reaching(count: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Where a step and the STEPS after it together have what is needed."""
-    total = np.concatenate([[0], np.cumsum(count), np.full(STEPS, count.sum())])
-    return np.flatnonzero(total[STEPS + 1 :] - total[: -STEPS - 1] >= need)
+        Sums run over all facts in a row; that of a fact's last steps, which are empty, can only come out too large.
+        """
+        total = np.zeros(len(of) * steps + int(self.span[-1]) + 1, np.int64)
+        np.cumsum(np.bincount(bins, minlength=len(of) * steps), out=total[1 : len(of) * steps + 1])
+        total[len(of) * steps + 1 :] = len(bins)
+        out, span = [], self.span[of]
+        for wide in np.unique(span).tolist():
+            a, z = np.searchsorted(span, wide), np.searchsorted(span, wide, side="right")
+            held = (total[a * steps + wide : z * steps + wide] - total[a * steps : z * steps]).reshape(-1, steps)
+            out.append(np.flatnonzero(held >= self.need[of[a:z], None]) + a * steps)
+        good = np.concatenate(out)
+        return of[good // steps], good % steps
 
 
 class Facts:
@@ -74,50 +95,57 @@ class Facts:
         self.spread = np.floor((1 - least) * 2 / least * length + 1e-9).astype(np.int64)  # most that diagonals of blocks differ
         self.longest = length + self.spread
         grams = [next((q for q in (4, 3, 2) if least_shared(n, q, least) >= 4), 1) for n in length.tolist()]
-        self.need = np.array([max(1, least_shared(n, q, least)) for n, q in zip(length.tolist(), grams, strict=True)], np.int64)
-        self.postings = []
-        for q in sorted(set(grams)):
-            mine = [i for i, g in enumerate(grams) if g == q]
+        shift = [(n // STEPS + 1).bit_length() - 1 for n in self.spread.tolist()]
+        self.codes = {q: np.unique(np.concatenate([_codes(_chars(t), q) for t, g in zip(texts, grams, strict=True) if g == q])) for q in set(grams)}
+        self.postings: list[Postings] = []
+        for q, s in sorted(set(zip(grams, shift, strict=True))):
+            span = lambda i: (int(self.spread[i]) + (1 << s) - 1 >> s) + 1  # noqa: B023, E731
+            mine = sorted((i for i, g in enumerate(zip(grams, shift, strict=True)) if g == (q, s)), key=span)
             codes = [_codes(_chars(texts[i]), q) for i in mine]
-            code, fact = np.concatenate(codes), np.repeat(mine, [len(c) for c in codes])
+            code, fact = np.concatenate(codes), np.repeat(np.arange(len(mine)), [len(c) for c in codes])
             place, by = np.concatenate([np.arange(len(c)) for c in codes]), np.argsort(code, kind="stable")
-            self.postings.append(Postings(q, code[by], fact[by], place[by]))
+            begin = np.append(np.searchsorted(code[by], self.codes[q]), len(code))
+            need = np.array([max(1, least_shared(len(texts[i]), q, least)) for i in mine], np.int64)
+            over = int((self.longest + self.spread)[mine].max()) + 2
+            self.postings.append(Postings(q, s, over, np.array(mine), np.array([span(i) for i in mine]), need, begin, fact[by], place[by]))
 
     def stretches(self, text: str) -> Iterator[tuple[int, int, int]]:
         """(fact, first and last place at which a window may begin) wherever enough q-grams share a stretch of diagonals.
 
         The diagonals of a window's blocks and the window's own begin lie within `spread` of each other. They are counted
-        in steps of a quarter of that, five of which hold them all. Long texts are looked up in slices that overlap by
-        more than a window.
+        in steps of a power of two, a quarter of that at most. Long texts are looked up in slices that overlap by more
+        than a window.
         """
-        chars, over = _chars(text), int((self.longest + self.spread).max()) + 2
-        width = self.spread // STEPS + 1
+        chars, most = _chars(text), max((p.over for p in self.postings), default=0)
         for start in range(0, len(chars), SLICE):
-            part = chars[start : start + SLICE + 2 * over]
-            steps = (len(part) + over) // width + STEPS + 1  # the last stay empty
-            base = np.cumsum(steps) - steps
-            bins, met = int(steps.sum()), []
+            part, known = chars[start : start + SLICE + 2 * most], {}
+            for q, have in self.codes.items():
+                code = _codes(part, q)
+                which = np.minimum(np.searchsorted(have, code), len(have) - 1)
+                at = np.flatnonzero(have[which] == code)
+                known[q] = at, which[at]
             for p in self.postings:
-                code = _codes(part, p.q)
-                low = np.searchsorted(p.code, code, side="left")
-                n = np.searchsorted(p.code, code, side="right") - low
-                at = np.repeat(np.arange(len(code)), n)
-                entry = np.repeat(low, n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                fact = p.fact[entry]
-                met.append((base[fact] + (at - p.place[entry] + over) // width[fact], p.place[entry]))
-            bin_, place = (np.concatenate(x) for x in zip(*met, strict=True))
-            need = np.repeat(self.need, steps)
-            good = _reaching(np.bincount(bin_, minlength=bins), need)
-            # where matches are enough, count again how many places of the fact have one: a text that repeats itself has many of each
-            inside = np.zeros(bins + STEPS + 2, np.int64)
-            np.add.at(inside, good, 1)
-            np.add.at(inside, good + STEPS + 1, -1)
-            mine = np.cumsum(inside)[bin_] > 0
-            once = np.unique(bin_[mine] * (int(self.longest.max()) + 1) + place[mine]) // (int(self.longest.max()) + 1)
-            good = _reaching(np.bincount(once, minlength=bins), need)
-            fact = np.searchsorted(base, good, side="right") - 1
-            first = start + (good - base[fact]) * width[fact] - over
-            yield from zip(fact.tolist(), np.maximum(first, 0).tolist(), (first + (STEPS + 1) * width[fact] - 1).tolist(), strict=True)
+                at, which = known[p.q]
+                low = p.begin[which]
+                n = p.begin[which + 1] - low
+                entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                steps = (len(part) + p.over >> p.shift) + int(p.span[-1]) + 1  # the last stay empty
+                zero = p.fact * (steps << p.shift) + p.over - p.place  # step of a match at place 0, times the width
+                bins = zero[entry] + np.repeat(at, n) >> p.shift
+                fact, step = p.reaching(bins, steps, np.arange(len(p.facts)))
+                if not len(fact):
+                    continue
+                # where matches are enough, count again how many places of the fact have one: a text that repeats itself has many of each
+                inside = np.zeros(len(p.facts) * steps + 1, np.int64)
+                np.add.at(inside, fact * steps + step, 1)
+                np.add.at(inside, fact * steps + step + p.span[fact], -1)
+                mine = np.flatnonzero((np.cumsum(inside) > 0)[bins])
+                stride = int(self.longest.max()) + 1
+                once = np.unique(bins[mine] * stride + p.place[entry[mine]]) // stride
+                of = np.unique(fact)
+                fact, step = p.reaching(np.searchsorted(of, once // steps) * steps + once % steps, steps, of)
+                first = start + (step << p.shift) - p.over
+                yield from zip(p.facts[fact].tolist(), np.maximum(first, 0).tolist(), (first + (p.span[fact] << p.shift) - 1).tolist(), strict=True)
 
     def best(self, text: str) -> tuple[dict[int, float], int]:
         """({fact: best ratio}, windows compared): facts that stand in the text, and those with a window of the ratio."""
@@ -139,28 +167,50 @@ class Facts:
             masks: dict[str, int] = {}
             for i, c in enumerate(what):
                 masks[c] = masks.get(c, 0) | 1 << i
-            for i in places:
-                ends = sorted({min(i + w, len(words)) for w in widths if i + w <= len(words) or i == 0})
-                looked += len(ends)
-                shared = common(masks, len(what), text[begin[i] : begin[ends[-1]] - 1]) if ends else []
-                for end in ends:
-                    n = int(begin[end] - 1 - begin[i])
-                    if 2 * shared[n] >= max(top, self.least) * (len(what) + n) - 1e-6:
-                        match.set_seq1(text[begin[i] : begin[end] - 1])
-                        top = max(top, match.ratio())
+            windows = [(i, ends) for i in sorted(places) if (ends := sorted({min(i + w, len(words)) for w in widths if i + w <= len(words) or i == 0}))]
+            size_of = lambda i, end: int(begin[end] - 1 - begin[i])
+            for run in _runs(windows, begin, len(what) // RUN):
+                # all windows of a run lie in one stretch of text: none has more in common with the fact than that has
+                looked += sum(len(ends) for _, ends in run)
+                least = min(size_of(i, ends[0]) for i, ends in run)
+                whole = text[begin[run[0][0]] : max(begin[ends[-1]] for _, ends in run) - 1]
+                if len(run) > 1 and 2 * common(masks, len(what), whole, [len(whole)])[0] < max(top, self.least) * (len(what) + least) - 1e-6:
+                    continue
+                for i, ends in run:
+                    sizes = [size_of(i, end) for end in ends]
+                    for end, n, shared in zip(ends, sizes, common(masks, len(what), text[begin[i] : begin[ends[-1]] - 1], sizes), strict=True):
+                        if 2 * shared >= max(top, self.least) * (len(what) + n) - 1e-6:
+                            match.set_seq1(text[begin[i] : begin[end] - 1])
+                            top = max(top, match.ratio())
             if top >= self.least:
                 found[fact] = round(top, 4)
         return found, looked
 
 
-def common(masks: dict[str, int], length: int, text: str) -> list[int]:
+def _runs(windows: list[tuple[int, list[int]]], begin: np.ndarray, most: int) -> Iterator[list[tuple[int, list[int]]]]:
+    """Windows (first word, ends), in order, in runs that begin within so many characters of each other."""
+    run: list[tuple[int, list[int]]] = []
+    for w in windows:
+        if run and begin[w[0]] - begin[run[0][0]] > most:
+            yield run
+            run = []
+        run.append(w)
+    if run:
+        yield run
+
+
+def common(masks: dict[str, int], length: int, text: str, sizes: list[int]) -> list[int]:
     """Characters that a string of this length, given by where each character stands in it, has in common in order with
-    each prefix of text: no matching of blocks can have more. A row of the usual table is the bits of one integer."""
-    row, all_, out = (1 << length) - 1, (1 << length) - 1, [0]
-    for c in text:
-        if c in masks:
-            hit = row & masks[c]
-            row = ((row + hit) | (row - hit)) & all_
+    the prefixes of text of these sizes, which rise: no matching of blocks can have more. A row of the usual table is the
+    bits of one integer."""
+    row = all_ = (1 << length) - 1
+    out, at = [], 0
+    for n in sizes:
+        for c in text[at:n]:
+            if c in masks:
+                hit = row & masks[c]
+                row = ((row + hit) | (row - hit)) & all_
+        at = n
         out.append(length - row.bit_count())
     return out
 
