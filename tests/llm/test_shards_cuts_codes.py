@@ -204,3 +204,12 @@ def test_codes_of_nothing(spark):
     assert [r.code for r in vector_codes.product_codes(spark.createDataFrame([(1, [], 1)], shape)).collect()] == [None]
     with pytest.raises(ValueError, match="divide"):
         vector_codes.product_codes(spark.createDataFrame([(1, [1.0, 2.0], 1)], shape))
+
+
+def test_kept_ids_serve_repeats_and_the_older_generation(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 2)
+    asked = []
+    kept = tokens.Kept(lambda words: asked.append(list(words)) or [None if w == "?" else w.encode() for w in words])
+    assert kept.each(["a", "b", "a", "?"]) == [b"a", b"b", b"a", None]
+    assert kept.each(["c", "b"]) == [b"c", b"b"] and kept.each(["a", "a"]) == [b"a", b"a"]
+    assert asked == [["a", "b", "?"], ["c"], []] and kept.get("b") == b"b" and kept.get("x") is None

@@ -71,12 +71,18 @@ class Kept:
         if gaps:
             if len(self.young) > KEPT:
                 self.young, self.old = {}, self.young
-            missing = dict.fromkeys([parts[i] for i in gaps])
-            new = [w for w in missing if w not in self.old]
-            made = dict(zip(new, self.encode(new), strict=True)) | {w: self.old[w] for w in missing if w in self.old}
-            for i in gaps:
-                out[i] = made[parts[i]]
-            self.young.update(made)
+            missing = list(dict.fromkeys([parts[i] for i in gaps]))
+            held = list(map(self.old.get, missing))
+            made = iter(self.encode([w for w, ids in zip(missing, held, strict=True) if ids is None]))
+            held = [next(made) if ids is None else ids for ids in held]
+            if len(missing) == len(gaps):
+                for i, ids in zip(gaps, held, strict=True):
+                    out[i] = ids
+                self.young.update(zip(missing, held, strict=True))
+            else:
+                self.young.update(zip(missing, held, strict=True))
+                for i in gaps:
+                    out[i] = self.young[parts[i]]
         return out
 
 
@@ -161,7 +167,7 @@ class Encoder:
             return []
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = split.flatten().dictionary_encode()
-        ids = [x or b"" for x in self.spaced.each(coded.dictionary.to_pylist())]
+        ids = [x or b"" for x in self.spaced.each(coded.dictionary.to_numpy(zero_copy_only=False).tolist())]
         n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
         flat, begin = np.frombuffer(b"".join(ids), f"<u{self.width}"), np.cumsum(n) - n
         piece, bound = coded.indices.to_numpy(), split.offsets.to_numpy()
