@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from textora.llm import decontaminate, exact_dedup, line_dedup, mixing, ngram_join, quality, queries, secret_scan, substring_dedup, url_filter, warc
-from textora.llm._common import new_path, read, save
+from textora.llm._common import new_path, read, save, shared_dir
 
 WORD = re.compile(r"[^ \t-\r]+")
 
@@ -274,6 +274,18 @@ def test_lines_find_the_links_of_whole_tables(spark):
     assert len(want) > 100 and held >= 0.98 * len(want), (held, len(want))
 
 
+def test_lines_leave_no_tables_that_nothing_reads(spark):
+    """Once the lines to leave out are known, places, lines, texts and links are deleted and not kept until the job's end."""
+    base = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, base), (2, f"{base} more"), (3, "other")], "doc_id long, text string")
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    left = line_dedup.dedup_lines(docs)
+    kinds = {f.name.rpartition("-")[0].removeprefix("textora-") for f in set(folder.iterdir()) - before}
+    assert "line-gone" in kinds and not kinds & {"line-spots", "lines", "line-keys", "line-pairs", "line-likely", "line-texts", "line-links", "line-parts", "line-stay"}
+    assert {r.doc_id for r in left.collect() if r.text} == {1, 3}
+
+
 def test_lines_do_not_depend_on_layout(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     told = [sorted((r.doc_id, r.text or "") for r in line_dedup.dedup_lines(d).collect()) for d in (docs, docs.repartition(7, "text"))]
