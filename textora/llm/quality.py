@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,8 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 done += n
 
     got = sample.mapInArrow(features, f"id {dict(sample.dtypes)['id']}, label double, index binary, value binary, dense binary").toArrow().sort_by("id")
-    rows = [Features(np.array([0, len(i.as_py()) // 4]), np.frombuffer(i.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32), np.frombuffer(d.as_py())[None]) for i, v, d in zip(got["index"], got["value"], got["dense"], strict=True)]
-    return fit(rows, (got["label"].to_numpy() > 0).astype(float))
+    joined = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in got[c]), kind)
+    bounds = np.concatenate([[0], np.cumsum(pc.binary_length(got["index"]).to_numpy() // 4)]).astype(np.int64)
+    rows = Features(bounds, joined("index", np.int32), joined("value", np.float32), joined("dense", np.float64).reshape(-1, len(DENSE)))
+    return fit([rows] if len(bounds) > 1 else [], (got["label"].to_numpy() > 0).astype(float))
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", told_col: str | None = "n_chars", into: str = "quality_score") -> DataFrame:
