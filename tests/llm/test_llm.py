@@ -233,6 +233,16 @@ def test_lines_of_a_large_key_equal_brute_force(spark):
     assert lines_kept(spark, lines) == want
 
 
+def test_lines_that_share_a_phrase_only_are_no_candidates(spark, monkeypatch):
+    """A phrase that recurs in many lines makes no pairs of them and sends none of them the exact way; near copies among
+    them still meet."""
+    word = lambda *k: hashlib.md5(repr(k).encode()).hexdigest()[:7].translate(str.maketrans("0123456789", "ghijklmnop"))
+    lines = [f"{word(k)} of the one in a to be on it {' '.join(word(k, i) for i in range(14))}" for k in range(300)]
+    lines += [f"{t} {word('end', k)}" for k, t in enumerate(lines[:20])]
+    monkeypatch.setattr(line_dedup, "_exact_links", lambda *_: (_ for _ in ()).throw(AssertionError("exact way")))
+    assert lines_kept(spark, lines) == set(range(300))
+
+
 def test_lines_without_spaces_equal_brute_force(spark):
     long = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(8))
     lines = ["".join(chr(0x4E00 + int(long[i : i + 3], 16)) for i in range(480)), long[:500], "\t".join(long[i : i + 9] for i in range(0, 400, 9)), "https://a.org/" + long[100:300]]
