@@ -243,6 +243,32 @@ def test_lines_that_share_a_phrase_only_are_no_candidates(spark, monkeypatch):
     assert lines_kept(spark, lines) == set(range(300))
 
 
+def test_exact_way_meets_little_but_linked_lines(spark, monkeypatch):
+    """Lines that share a phrase and rare shingles, two by two: those that are linked, and no others, come out of the join."""
+    word = lambda *k: hashlib.md5(repr(k).encode()).hexdigest()[:7].translate(str.maketrans("0123456789", "ghijklmnop"))
+    phrase = " ".join(word("phrase", i) for i in range(20))
+    lines = [f"{word('few', k // 6)} {phrase} {' '.join(word(k, i) for i in range(12))} {word('few', k % 7)}" for k in range(120)]
+    lines += [f"{t} {word('end', k)}" for k, t in enumerate(lines[:30])]
+    met, keep = {}, line_dedup.save
+    monkeypatch.setattr(line_dedup, "save", lambda df, tag: met.setdefault(tag, []).append(out := keep(df, tag)) or out)
+    monkeypatch.setattr(line_dedup, "drop_saved", lambda df: None)
+    texts = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+    parts = spark.createDataFrame([], "line_id long, component long")
+    links = {(r.a, r.b) for r in line_dedup._exact_links(texts, line_dedup._marks(texts), parts, 0.8).collect()}
+    assert links == {(k, 120 + k) for k in range(30)} == set(char_links(lines))
+    assert sum(x.count() for tag in ("line-pairs", "line-rest") for x in met[tag]) <= 40
+
+
+def test_marks_lose_no_pair_of_the_threshold(spark):
+    """Pairs at the threshold, and above it, whose sets are of any sizes may always reach it by their marks."""
+    texts = [("".join(chr(0x4E00 + i) for i in range(n + 4)), "".join(chr(0x4E00 + i) for i in range(-(-8 * n // 10) + 4))) for n in (1, 5, 30, 300, 2000)]
+    rows = [x for i, (a, b) in enumerate(texts) for x in ((2 * i, a), (2 * i + 1, b))]
+    marks = line_dedup._marks(spark.createDataFrame(rows, "line_id long, line string"))
+    assert {r.line_id: r.n for r in marks.collect()} == {i: len(t) - 4 for i, t in rows}
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, len(rows), 2)], "a long, b long")
+    assert line_dedup._likely(pairs, marks, 0.8).count() == len(texts)
+
+
 def test_lines_without_spaces_equal_brute_force(spark):
     long = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(8))
     lines = ["".join(chr(0x4E00 + int(long[i : i + 3], 16)) for i in range(480)), long[:500], "\t".join(long[i : i + 9] for i in range(0, 400, 9)), "https://a.org/" + long[100:300]]
