@@ -247,3 +247,21 @@ def test_scores_from_a_floor_are_those_of_all(spark):
     least = spark.createDataFrame(list(floor.items()), "question long, floor double")
     got = {(r.question, r.doc_id): r.score for r in chunks.bm25(docs, asked, weights=chunks.term_weights(docs, asked), floor=least).collect()}
     assert got == {k: s for k, s in every.items() if k[0] in floor and round(s, 9) >= floor[k[0]]} and 16 <= len(got) < len(every)
+
+
+def test_quick_wins_scan_only_for_what_tells(spark, tmp_path, monkeypatch):
+    """The same rows as from a scan for all categories, without looking for those of lower severity that stand alone."""
+    from textora import fixed
+    from textora.operators import governance, hidden, identifiers, readiness
+    from textora.plans import catalog
+
+    texts = ["IBAN: GB82 WEST 1234 5698 7654 32\nwrite to ann@example.org", "phone number 020 7946 0958, IBAN DE89 3704 0044 0532 0130 00", "nothing to see here"]
+    spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    ratings = readiness.rated(readiness.text_signals(docs))
+    want = governance.quick_wins(readiness.scores(ratings, "doc_id"), ratings, identifiers.scan(docs), hidden.findings(docs)).collect()
+    asked, scan = [], identifiers.scan
+    monkeypatch.setattr(identifiers, "scan", lambda *a, categories=fixed.CATEGORIES, **b: asked.extend(c[0] for c in categories) or scan(*a, categories=categories, **b))
+    assert catalog.queries()["quick_wins"](spark, str(tmp_path)).collect() == want
+    assert ("mask identifiers of high severity", 2) in {tuple(r) for r in want}
+    assert "iban" in asked and "phone_number" in asked and "person_name" not in asked
